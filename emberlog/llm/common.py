@@ -51,3 +51,22 @@ _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 def ascii_lower(text: str) -> str:
     return text.translate(_UPPER) if re.search("[A-Z]", text) else text
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def range_buckets(df: DataFrame, key: str, n: int | None = None) -> tuple[Column, int]:
+    """An expression for the key's range, 0 to n-1 in ascending order, and n; ranges hold about equally many rows.
+
+    Only the key column is read. Equal keys share a range; a null key sorts first, into range 0.
+    """
+    n = n or partitions(df.sparkSession)
+    shares = [k / n for k in range(1, n)]
+    cuts = (df.agg(F.percentile_approx(key, shares, 10000)).first()[0] if shares else None) or []
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return F.lit(0), 1
+    below = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda k, c: k + F.when(F.col(key) > c, 1).otherwise(0))
+    return below.cast("int"), len(cuts) + 1
