@@ -5,24 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberlog.llm import bpe
+from emberlog.llm import bpe, packing, shards, tokenfile
 from emberlog.llm.common import documents
 
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
-def _path(name: str) -> str:
+
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _path("byte_bpe_50k.json")
+    path = tokenizer_path(BYTE_BPE)
     return bpe.digests(bpe.encode(documents(spark, sf_dir), path), path)
 
 
+def op4_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfile.write(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2)
+    return tokenfile.read(spark, manifest, tokenfile.summary, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, slot_map = shards.place(documents(spark, sf_dir), shards=24)
+    shards.store(spark, [shards.SlotMap.even(24), slot_map])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op4_planes": op4_planes, "op8_shards": op8_shards, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
