@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, packing, shards, tokenfile
+from emberlog.llm import bpe, fingerprints, languages, packing, quality, shards, tokenfile
 from emberlog.llm.common import documents
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -24,11 +24,27 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), path), path)
 
 
+def op3_cws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_edits(documents(spark, sf_dir))
+
+
 def op4_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2)
     return tokenfile.read(spark, manifest, tokenfile.summary, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", *quality.STATISTICS, "base_failed", "kept", "distance")
+
+
+def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = languages.fit(docs.where(~held_out))
+    return languages.identify(docs, model, extra=[held_out.alias("held_out")])
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, slot_map = shards.place(documents(spark, sf_dir), shards=24)
     shards.store(spark, [shards.SlotMap.even(24), slot_map])
@@ -40,7 +56,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_planes": op4_planes, "op8_shards": op8_shards, "op10_packing": op10_packing}
+    own = [op1_bpe, op3_cws, op4_planes, op5_quality, op7_languages, op8_shards, op10_packing]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
