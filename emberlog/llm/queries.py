@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, fingerprints, languages, packing, quality, shards, tokenfile
+from emberlog.llm import bpe, fingerprints, languages, neardup, packing, quality, shards, tokenfile
 from emberlog.llm.common import documents
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -51,12 +51,16 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), end_id=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_bpe, op3_cws, op4_planes, op5_quality, op7_languages, op8_shards, op10_packing]
+    own = [op1_bpe, op3_cws, op4_planes, op5_quality, op7_languages, op8_shards, op9_neardup, op10_packing]
     return {f.__name__: f for f in own}
 
 
