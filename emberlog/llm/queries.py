@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, fingerprints, languages, neardup, packing, quality, shards, tokenfile
+from emberlog.llm import bpe, fingerprints, languages, neardup, packing, quality, shards, substring, tokenfile
 from emberlog.llm.common import documents
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), path), path)
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(documents(spark, sf_dir))
+
+
 def op3_cws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_edits(documents(spark, sf_dir))
 
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_bpe, op3_cws, op4_planes, op5_quality, op7_languages, op8_shards, op9_neardup, op10_packing]
+    own = [op1_bpe, op2_substring, op3_cws, op4_planes, op5_quality, op7_languages, op8_shards, op9_neardup, op10_packing]
     return {f.__name__: f for f in own}
 
 
