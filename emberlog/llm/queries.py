@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, fingerprints, languages, neardup, packing, quality, shards, substring, tokenfile
+from emberlog.llm import bpe, fingerprints, languages, neardup, packing, pii, quality, shards, substring, tokenfile
 from emberlog.llm.common import documents
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -42,6 +42,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", *quality.STATISTICS, "base_failed", "kept", "distance")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(documents(spark, sf_dir))
+
+
 def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -64,7 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_bpe, op2_substring, op3_cws, op4_planes, op5_quality, op7_languages, op8_shards, op9_neardup, op10_packing]
+    own = [op1_bpe, op2_substring, op3_cws, op4_planes, op5_quality, op6_pii, op7_languages, op8_shards, op9_neardup, op10_packing]
     return {f.__name__: f for f in own}
 
 
