@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -35,6 +36,22 @@ REMEMBERED, LONGEST_PIECE = 400_000, 64
 #: The rule by which byte-level vocabularies of this kind split text.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Normaliser and rule of the vocabulary with word ends, whose pieces may go to the quicker library.
+WORD_RULE = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = b"\xff"
+
+
+def _latin_parts(end: int) -> re.Pattern:
+    """WORD_PATTERN for texts below a code point, with classes spelled out from the character database."""
+    kind = {c: unicodedata.category(chr(c))[0] for c in range(end)}
+    chosen = lambda k: "".join(f"\\u{c:04x}" for c in range(end) if kind[c] == k)
+    letters, numbers = chosen("L"), chosen("N")
+    return re.compile(WORD_PATTERN.split("|[")[0] + f"|[{letters}]+|[{numbers}]|[^\\t-\\r \\x85\\xa0{letters}{numbers}]+")
+
+
+_LATIN_END = "\u0130"
+_LATIN_PARTS = _latin_parts(ord(_LATIN_END))
 _GAP = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN_SPACE = re.compile("[\t-\r ]+")
@@ -89,27 +106,36 @@ class PieceEncoder:
             self.kind = "whole"
         self.special = {t["content"]: t["id"] for t in added}
         self._special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._fast = self._ranked(spec) if self.kind == "byte" else None
+        quick = self.kind == "byte" or self.kind == "word" and WORD_RULE == spec["normalizer"] and WORD_PATTERN == pre["pretokenizers"][0]["pattern"]["Regex"]
+        self._fast = self._ranked(spec) if quick else None
         self._spaced = _Table(lambda piece: self._piece(" " + piece), remembered)
         self._bare = _Table(self._piece, remembered)
         self._bytes: list[bytes] | None = None
 
-    @staticmethod
-    def _ranked(spec: dict):
-        """The same byte-level vocabulary for a quicker library, where ids stand in the order of the merges."""
+    def _ranked(self, spec: dict):
+        """The same byte-level vocabulary for a quicker library: possible where ids stand in the order of the merges.
+
+        A mark for the end of a word becomes a byte that no UTF-8 text holds.
+        """
         import tiktoken
 
-        model, back = spec["model"], {c: b for b, c in byte_alphabet().items()}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        made = [model["vocab"].get(a + b, -1) for a, b in pairs]
-        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
-        if not plain or any(x >= y for x, y in zip(made, made[1:], strict=False)) or not back.keys() <= model["vocab"].keys():
+        model, back = spec["model"], {c: bytes([b]) for b, c in byte_alphabet().items()}
+        vocab, suffix, special = model["vocab"], model.get("end_of_word_suffix") or "", {t["content"] for t in spec["added_tokens"]}
+        if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")):
             return None
-        if made and max(model["vocab"][c] for c in back) > made[0]:
+        base = [c + end for end in {"", suffix} for c in back]
+        made = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+        if not set(base) <= vocab.keys() or any(x >= y for x, y in zip([max(vocab[c] for c in base), *made], made, strict=False)):
             return None
-        ranks = {bytes(back[c] for c in token): k for token, k in model["vocab"].items() if all(c in back for c in token)}
-        special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {token: k for token, k in ranks.items() if token.decode("utf-8", "replace") not in special}
+
+        def raw(token: str) -> bytes | None:
+            end = suffix and token.endswith(suffix)
+            parts = [back.get(c) for c in (token[: -len(suffix)] if end else token)]
+            return None if None in parts else b"".join(parts) + (WORD_END if end else b"")
+
+        ranks = {r: k for token, k in vocab.items() if token not in special and (r := raw(token)) is not None}
+        if suffix:
+            ranks.setdefault(WORD_END, len(vocab) + len(special))
         return tiktoken.Encoding("ranked", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     # --- encoding ---
@@ -121,9 +147,7 @@ class PieceEncoder:
         if self.kind == "whole":
             return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         if self.kind == "word":
-            pieces = [self._words(t) for t in texts]
-            self._learn(pieces)
-            return [self._ids(self._bare, p) for p in pieces]
+            return [self._ids(self._bare, self._words(t)) for t in texts]
         out = []
         for text in texts:
             if self._special_at and "<" in text and self._special_at.search(text):
@@ -152,27 +176,14 @@ class PieceEncoder:
     def _words(self, text: str) -> list[str]:
         return list(filter(None, _PLAIN_SPACE.split(text))) if _ODD_SPACE.search(text) else text.split()
 
-    def _learn(self, pieces: list[list[str]]) -> None:
-        """Encodes the new words of many texts together, an added token between neighbours."""
-        new = [w for w in set(chain.from_iterable(pieces)).difference(self._bare) if len(w) <= LONGEST_PIECE]
-        self._bare.make_room(len(new))
-        mark, end = next(iter(self.special.items()), (None, None))
-        if mark is None:
-            return
-        new = [w for w in new if "<" not in w and "|" not in w]
-        for k in range(0, len(new), 1000):
-            part = new[k : k + 1000]
-            ids = self.tok.encode(mark.join(part), add_special_tokens=False).ids
-            start = 0
-            for word, stop in zip(part, [*(i for i, x in enumerate(ids) if x == end), len(ids)], strict=True):
-                self._bare[word] = _packed(ids[start:stop])
-                start = stop + 1
-
     def _piece(self, piece: str) -> bytes:
         if self.kind == "byte" and len(piece) >= LONG_RUN:
             return np.concatenate([self.run(run) for run, _ in self.tok.pre_tokenizer.pre_tokenize_str(piece)]).astype("<u4").tobytes()
-        if self._fast is not None:
+        if self._fast is not None and self.kind == "byte":
             return _packed(self._fast.encode_ordinary(piece))
+        if self._fast is not None and max(piece) < _LATIN_END and "<|" not in piece:
+            one, parts = self._fast._encode_single_piece, _LATIN_PARTS.findall(unicodedata.normalize("NFC", piece).lower())
+            return _packed([k for p in parts for k in one(p.encode() + WORD_END)])
         return _packed(self.tok.encode(piece, add_special_tokens=False).ids)
 
     # --- tree concatenation; runs are in the tokenizer's byte alphabet, one letter a byte ---
