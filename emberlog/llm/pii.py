@@ -163,12 +163,16 @@ def digests(docs: DataFrame) -> DataFrame:
     return grouped.select("doc_id", *(f"n_{n}" for n in KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
 
 
+def _marked(kind: str, mark: str):
+    return lambda m: F.when(valid(kind, m), F.lit(mark.format(kind.upper()))).otherwise(m)
+
+
 def mask(text: Column, mark: str = "<{}>") -> Column:
     """The text with valid base spans replaced by their kind: pieces between matches and matches are joined again."""
     for name in KINDS:
         pattern = BASE[name]
         what = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        shown = F.transform(what, lambda m, name=name: F.when(valid(name, m), F.lit(mark.format(name.upper()))).otherwise(m))
+        shown = F.transform(what, _marked(name, mark))
         parts = F.zip_with(F.split(text, pattern, -1), shown, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
         text = F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
     return text
@@ -177,10 +181,13 @@ def mask(text: Column, mark: str = "<{}>") -> Column:
 def masked(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
     """docs with personal data in `text` replaced by its kind. Null text stays null."""
     _, added = spans(docs)
-    mine = added.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind")), asc=False).alias("_added"))
+    own = "added"
+    while own.lower() in map(str.lower, docs.columns):
+        own = f"_{own}"
+    mine = added.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind")), asc=False).alias(own))
     marks = F.array(*(F.lit(mark.format(n.upper())) for n in KINDS))
     # From the last to the first, so that places stay right.
-    replaced = F.aggregate("_added", F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"].cast("int")), F.element_at(marks, s["kind"] + 1), F.substring(t, (s["end"] + 1).cast("int"), F.length(t))))
-    text = F.when(F.col("_added").isNotNull(), replaced).otherwise(F.col("text"))
+    replaced = F.aggregate(own, F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"].cast("int")), F.element_at(marks, s["kind"] + 1), F.substring(t, (s["end"] + 1).cast("int"), F.length(t))))
+    text = F.when(F.col(own).isNotNull(), replaced).otherwise(F.col("text"))
     found = docs.join(mine, "doc_id", "left").withColumn("text", text).withColumn("text", mask(F.col("text"), mark))
     return found.select(*docs.columns)

@@ -22,6 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -250,24 +251,28 @@ def factors(matches: np.ndarray) -> list[tuple[int, int, int, int]]:
     return list(zip(rows["start"][heads].tolist(), words.tolist(), rows["source"][heads].tolist(), rows["at"][heads].tolist(), strict=True))
 
 
-def parsed(docs: DataFrame, fold, schema: str) -> DataFrame:
+def parsed(docs: DataFrame, fold, schema: str, carry: list[str] | None = None) -> DataFrame:
     """fold(doc_id, text, factors) gives a row for every row of docs, in a pass where each text meets its matches.
 
+    The columns in `carry` follow each row unchanged.
+
     Documents come in the order of doc_id; of equal blocks the one with the smallest (doc_id, start)
     stays. Null text: no words. Rows that share a doc_id count as one document, and a row without
     doc_id is neither reference nor changed. Texts of fewer than 20 words have no block.
     """
-    rows = docs.select("doc_id", "text")
+    rows, carried = docs.select("doc_id", "text"), [f"c{k}" for k in range(len(carry or []))]
     matches = _matches(_candidates(rows, _filter(written(_anchor_counts(rows)))))
 
     def packed_texts(batches):
         zip_ = zstandard.ZstdCompressor(level=3)
         for batch in text_batches(batches):
             packed = [None if t is None else zip_.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1] * len(packed), pa.int32()), pa.array(packed, pa.binary())], ["doc", "role", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1] * len(packed), pa.int32()), pa.array(packed, pa.binary()), *batch.columns[2:]], ["doc", "role", "packed", *carried])
 
-    texts = rows.mapInArrow(packed_texts, "doc long, role int, packed binary")
-    met = matches.select("doc", F.lit(0).alias("role"), "packed").unionByName(texts)
+    types = {c: dict(docs.dtypes)[name] for c, name in zip(carried, carry or [], strict=True)}
+    with_text = docs.select("doc_id", "text", *(F.col(name).alias(c) for c, name in zip(carried, carry or [], strict=True)))
+    texts = with_text.mapInArrow(packed_texts, ", ".join(["doc long, role int, packed binary", *(f"{c} {t}" for c, t in types.items())]))
+    met = matches.select("doc", F.lit(0).alias("role"), "packed").unionByName(texts, allowMissingColumns=True)
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
 
@@ -275,8 +280,8 @@ def parsed(docs: DataFrame, fold, schema: str) -> DataFrame:
         unzip, doc, held, found = zstandard.ZstdDecompressor(), None, [], []
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                rows = []
-                for d, role, packed in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
+                rows, part = [], batch.slice(start, 256)
+                for d, role, packed in zip(*(c.to_pylist() for c in part.columns[:3]), strict=True):
                     if d != doc:
                         doc, held, found = d, [], None
                     if role == 0:
@@ -286,10 +291,12 @@ def parsed(docs: DataFrame, fold, schema: str) -> DataFrame:
                         found, held = factors(np.concatenate(held)) if held else [], []
                     rows.append(fold(d, None if packed is None else unzip.decompress(packed).decode("utf-8", "surrogatepass"), found if d is not None else []))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    own = part.filter(pc.equal(part.column(1), 1)).columns[3:]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *own], [*names, *carried])
 
     placed = met.repartition(partitions(docs.sparkSession), "doc").sortWithinPartitions("doc", "role")
-    return placed.mapInArrow(folded, schema)
+    found = placed.mapInArrow(folded, ", ".join([schema, *(f"{c} {t}" for c, t in types.items())]))
+    return found.withColumnsRenamed(dict(zip(carried, carry or [], strict=True)))
 
 
 def covered(n: int, found: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -316,8 +323,9 @@ def without(text: str | None, found: list[tuple[int, int, int, int]]) -> str | N
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id and the text that is left."""
-    return parsed(docs, lambda doc, text, found: (doc, without(text, found)), "doc_id long, text string")
+    """docs with the text that is left."""
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return parsed(docs, lambda doc, text, found: (doc, without(text, found)), "doc_id long, text string", carry).select(*docs.columns)
 
 
 def digests(docs: DataFrame) -> DataFrame:
