@@ -1,0 +1,299 @@
+"""Registered queries over the driver's tables, with their DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberlog.operators import detect, query, sessions, sinks, stats, tables, timeline
+from emberlog.operators import events as E
+from emberlog.operators.detect import DetectionConfig
+from emberlog.plans.driver_views import events, logins, requests
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: Thresholds that find something in the driver's events, which are sparse.
+CFG = DetectionConfig(bruteforce_min_failures=6, bruteforce_window_seconds=3 * 86400, http_error_min=8, http_error_window_seconds=3 * 86400, scan_distinct_min=14, scan_window_seconds=3 * 86400, severity_spike_min=5, severity_spike_window_seconds=3600, rare_signature_max=3)
+IDLE, BUCKET, GAP = 6 * 3600, 3600, 900
+
+US = "epoch_us(ts)"
+IP = "'10.0.' || (user_id // 256) || '.' || (user_id % 256)"
+#: The canonical view of driver_views.events in SQL.
+EV = f"""ev AS (SELECT event_id AS pos, {US} AS ts_us,
+  CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 5 WHEN 'signup' THEN 6 ELSE 7 END AS severity,
+  CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'notice' WHEN 'signup' THEN 'informational' ELSE 'debug' END AS severity_name,
+  'h' || (user_id % 8) AS host, event_type AS app, 'u' || user_id AS "user", {IP} AS src_ip,
+  event_type || ' value ' || CAST(trunc(value) AS BIGINT) AS message, json_extract_string(props, '$.k') AS k,
+  'json|' || event_type || '|' || left(regexp_replace(event_type || ' value ' || CAST(trunc(value) AS BIGINT), '[0-9]+', '#', 'g'), 120) AS signature
+  FROM events)"""
+RQ = f"rq AS (SELECT event_id AS pos, {US} AS ts_us, {IP} AS entity, '/p/' || (event_id % 97) AS path, CASE event_type WHEN 'error' THEN 500 + event_id % 4 WHEN 'click' THEN 404 ELSE 200 END AS status FROM events)"
+LG = f"lg AS (SELECT event_id AS pos, {US} AS ts_us, 'h' || (user_id % 8) AS entity, event_type AS kind FROM events)"
+ISO = "strftime(make_timestamp({0}), '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+
+def registered(name: str, sql: str | None = None):
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+# --- filters ---
+
+FILTERS = {
+    "eq": ("app=ERROR", "app = 'error'"),
+    "ne": ("app!=click", "app <> 'click'"),
+    "contains": ("message~VALUE", "contains(message, 'value')"),
+    "not_contains": ("message!~error", "NOT contains(message, 'error')"),
+    "severity": ("severity>=notice", "severity <= 5"),
+    "numeric": ("status<1 AND event_id>=0", "true"),
+    "fold_or_and": ("app=error OR app=click AND user=u1", "(app = 'error' OR app = 'click') AND \"user\" = 'u1'"),
+    "dynamic_field": ("k>=50 AND k<60", "CAST(k AS BIGINT) >= 50 AND CAST(k AS BIGINT) < 60"),
+    "fallthrough": ('host="h3" AND k!=7 AND status=0', "host = 'h3' AND k <> '7'"),
+}
+
+
+def _filter(name: str, text: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return query.where(events(spark, sf_dir), text).select("pos", "app", "message")
+
+    registered(f"ev_filter_{name}", f"WITH {EV} SELECT pos, app, message FROM ev WHERE {sql}")(run)
+
+
+for _name, (_text, _sql) in FILTERS.items():
+    _filter(_name, _text, _sql)
+
+
+@registered("ev_signature", f"WITH {EV} SELECT pos, signature FROM ev")
+def ev_signature(spark, sf_dir):
+    return events(spark, sf_dir).select("pos", E.signature().alias("signature"))
+
+
+@registered("ev_summary", f"WITH {EV} SELECT pos, {ISO.format('ts_us')} || '  ' || severity_name || '  json  host=' || host || '  app=' || app || '  src=' || src_ip || '  ' || message AS summary FROM ev")
+def ev_summary(spark, sf_dir):
+    return events(spark, sf_dir).select("pos", E.summary().alias("summary"))
+
+
+@registered("ev_actor", f"WITH {EV} SELECT pos, src_ip AS actor FROM ev")
+def ev_actor(spark, sf_dir):
+    return events(spark, sf_dir).select("pos", E.actor().alias("actor"))
+
+
+@registered("ev_auth", f"WITH {LG} SELECT pos, kind = 'error' AS failed, kind = 'purchase' AS passed FROM lg")
+def ev_auth(spark, sf_dir):
+    return logins(spark, sf_dir).select("pos", E.is_failed_auth().alias("failed"), E.is_successful_auth().alias("passed"))
+
+
+# --- statistics ---
+
+_DIMENSIONS = {"source": "'json'", "severity": "severity_name", "host": "host", "app": "app", "user": '"user"', "src_ip": "src_ip", "signature": "signature"}
+
+
+def _counter(dimension: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return stats.counters(events(spark, sf_dir), [dimension])
+
+    registered(f"stats_{dimension}", f"WITH {EV} SELECT '{dimension}' AS dimension, {sql} AS key, count(*) AS count FROM ev GROUP BY ALL")(run)
+
+
+for _name, _sql in _DIMENSIONS.items():
+    _counter(_name, _sql)
+
+
+@registered("stats_http_class", f"WITH {RQ} SELECT 'http_class' AS dimension, (status // 100) || 'xx' AS key, count(*) AS count FROM rq GROUP BY ALL")
+def stats_http_class(spark, sf_dir):
+    return stats.counters(requests(spark, sf_dir), ["http_class"])
+
+
+@registered("stats_all", "WITH " + EV + " " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {k} AS key, count(*) AS count FROM ev GROUP BY ALL" for d, k in _DIMENSIONS.items()))
+def stats_all(spark, sf_dir):
+    return stats.counters(events(spark, sf_dir))
+
+
+@registered("stats_scalars", f"WITH {EV} SELECT count(*) AS total, count(ts_us) AS timed, count(*) - count(ts_us) AS untimed, count(*) FILTER (severity <= 3) AS error_or_worse, min(ts_us) AS earliest, max(ts_us) AS latest, (max(ts_us) - min(ts_us)) // 1000000 AS span_seconds FROM ev")
+def stats_scalars(spark, sf_dir):
+    return stats.scalars(events(spark, sf_dir))
+
+
+@registered("stats_topn", f'WITH {EV} SELECT \'user\' AS dimension, "user" AS key, count(*) AS count FROM ev GROUP BY ALL ORDER BY count DESC, key LIMIT 10')
+def stats_topn(spark, sf_dir):
+    return stats.top(stats.counters(events(spark, sf_dir), ["user"]), 10)
+
+
+@registered("stats_totals", f"WITH {EV} SELECT 'host' AS dimension, count(DISTINCT host) AS \"distinct\", count(*) AS total FROM ev")
+def stats_totals(spark, sf_dir):
+    return stats.totals(stats.counters(events(spark, sf_dir), ["host"]))
+
+
+@registered("stats_at_least", f"WITH {EV} SELECT count(*) FILTER (severity <= 5) AS count FROM ev")
+def stats_at_least(spark, sf_dir):
+    return stats.at_least(events(spark, sf_dir), 5)
+
+
+# --- time line and sessions ---
+
+
+@registered(
+    "timeline_buckets",
+    f"""WITH {EV}, lo AS (SELECT min(ts_us) AS low, max(ts_us) AS high FROM ev),
+    line AS (SELECT unnest(range(0, (high - low) // {BUCKET * 1000000} + 1)) AS bucket, low FROM lo),
+    c AS (SELECT (ts_us - low) // {BUCKET * 1000000} AS bucket, count(*) AS n, count(*) FILTER (severity <= 3) AS e FROM ev, lo GROUP BY ALL)
+    SELECT line.bucket, low + line.bucket * {BUCKET * 1000000} AS start_us, coalesce(n, 0) AS count, coalesce(e, 0) AS error_or_worse FROM line LEFT JOIN c USING (bucket)""",
+)
+def timeline_buckets(spark, sf_dir):
+    return timeline.buckets(events(spark, sf_dir), BUCKET)
+
+
+@registered(
+    "timeline_peak",
+    f"""WITH {EV}, lo AS (SELECT min(ts_us) AS low FROM ev), c AS (SELECT (ts_us - low) // {BUCKET * 1000000} AS bucket, low, count(*) AS count FROM ev, lo GROUP BY ALL)
+    SELECT bucket, low + bucket * {BUCKET * 1000000} AS start_us, count FROM c ORDER BY count DESC, bucket LIMIT 1""",
+)
+def timeline_peak(spark, sf_dir):
+    return timeline.peak(timeline.buckets(events(spark, sf_dir), BUCKET))
+
+
+@registered(
+    "timeline_gaps",
+    f"""WITH {EV}, g AS (SELECT lag(ts_us) OVER (ORDER BY ts_us) AS before_us, ts_us AS after_us FROM ev)
+    SELECT before_us, after_us, (after_us - before_us) // 1000000 AS seconds FROM g WHERE after_us - before_us > {GAP * 1000000} ORDER BY after_us LIMIT 4096""",
+)
+def timeline_gaps(spark, sf_dir):
+    return timeline.gaps(events(spark, sf_dir), GAP)
+
+
+def _sessions(by: str, column: str) -> None:
+    def run(spark, sf_dir):
+        found = sessions.sessions(events(spark, sf_dir), by, IDLE)
+        return found.select("key", "start_us", "end_us", "duration_seconds", "events", F.array_join("positions", ",").alias("positions"))
+
+    sql = f"""WITH {EV}, a AS (SELECT {column} AS key, ts_us, pos, CASE WHEN ts_us - lag(ts_us) OVER w > {IDLE * 1000000} THEN 1 ELSE 0 END AS s FROM ev WINDOW w AS (PARTITION BY {column} ORDER BY ts_us, pos)),
+    b AS (SELECT *, sum(s) OVER (PARTITION BY key ORDER BY ts_us, pos ROWS UNBOUNDED PRECEDING) AS nth FROM a)
+    SELECT key, min(ts_us) AS start_us, max(ts_us) AS end_us, (max(ts_us) - min(ts_us)) // 1000000 AS duration_seconds, count(*) AS events, string_agg(pos::VARCHAR, ',' ORDER BY ts_us, pos) AS positions FROM b GROUP BY key, nth"""
+    registered(f"sessions_{by}", sql)(run)
+
+
+for _name, _sql in {"ip": "src_ip", "user": '"user"', "host": "host"}.items():
+    _sessions(_name, _sql)
+
+
+# --- detectors ---
+
+
+def _text(found: DataFrame) -> DataFrame:
+    return found.select("kind", F.col("severity").cast("int").alias("severity"), "entity", "count", "first_us", "last_us", "title", F.array_join("evidence", ",").alias("evidence"))
+
+
+def _window_sql(rows: str, kind: str, severity: int, least: int, seconds: int, title: str) -> str:
+    """The densest window of each entity, by a range frame; rows: a CTE `o(entity, ts_us, pos)`."""
+    win = seconds * 1000000
+    return f"""WITH {rows}, w AS (SELECT entity, ts_us, count(*) OVER f AS n, min(ts_us) OVER f AS first_us FROM o WINDOW f AS (PARTITION BY entity ORDER BY ts_us RANGE BETWEEN {win} PRECEDING AND CURRENT ROW)),
+    b AS (SELECT entity, n AS count, first_us, ts_us AS last_us FROM w QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, ts_us) = 1),
+    k AS (SELECT * FROM b WHERE count >= {least}),
+    e AS (SELECT k.entity, o.pos, o.ts_us, row_number() OVER (PARTITION BY k.entity ORDER BY o.ts_us, o.pos) AS nth FROM k JOIN o ON o.entity = k.entity AND o.ts_us BETWEEN k.first_us AND k.last_us)
+    SELECT '{kind}' AS kind, {severity} AS severity, k.entity, k.count, k.first_us, k.last_us, {title} AS title, string_agg(e.pos::VARCHAR, ',' ORDER BY e.nth) FILTER (e.nth <= 32) AS evidence FROM k JOIN e ON e.entity = k.entity GROUP BY ALL"""
+
+
+_FAILS = f"{LG}, o AS (SELECT entity, ts_us, pos FROM lg WHERE kind = 'error')"
+_SQL_BRUTE = _window_sql(_FAILS, "auth-brute-force", 1, CFG.bruteforce_min_failures, CFG.bruteforce_window_seconds, f"k.count || ' failed authentications from ' || k.entity || ' within {CFG.bruteforce_window_seconds}s'")
+_SQL_HTTP = _window_sql(f"{RQ}, o AS (SELECT entity, ts_us, pos FROM rq WHERE status BETWEEN 400 AND 599)", "http-error-burst", 4, CFG.http_error_min, CFG.http_error_window_seconds, f"k.count || ' HTTP 4xx/5xx responses to ' || k.entity || ' within {CFG.http_error_window_seconds}s'")
+_SQL_SPIKE = _window_sql(f"{EV}, o AS (SELECT '(global)' AS entity, ts_us, pos FROM ev WHERE severity <= 3)", "severity-spike", 3, CFG.severity_spike_min, CFG.severity_spike_window_seconds, f"k.count || ' error-or-worse events within {CFG.severity_spike_window_seconds}s'")
+_SQL_SPRAY = f"""WITH {_FAILS}, w AS (SELECT entity, count(*) OVER (PARTITION BY entity ORDER BY ts_us RANGE BETWEEN {CFG.bruteforce_window_seconds * 1000000} PRECEDING AND CURRENT ROW) AS n FROM o),
+    k AS (SELECT entity, max(n) AS count FROM w GROUP BY entity HAVING max(n) >= {CFG.bruteforce_min_failures}),
+    f AS (SELECT o.*, row_number() OVER (PARTITION BY entity ORDER BY ts_us, pos) AS nth FROM o JOIN k USING (entity)),
+    m AS (SELECT entity, min(ts_us) AS first_us, max(ts_us) FILTER (nth = {CFG.bruteforce_min_failures}) AS from_us, string_agg(pos::VARCHAR, ',' ORDER BY nth) FILTER (nth <= 31) AS shown FROM f GROUP BY entity),
+    h AS (SELECT m.entity, lg.ts_us, lg.pos FROM m JOIN lg ON lg.entity = m.entity AND lg.kind = 'purchase' AND lg.ts_us >= m.from_us QUALIFY row_number() OVER (PARTITION BY m.entity ORDER BY lg.ts_us, lg.pos) = 1)
+    SELECT 'auth-spray-then-hit' AS kind, 2 AS severity, entity, count, first_us, h.ts_us AS last_us, 'successful authentication from ' || entity || ' after ' || count || ' failures' AS title, shown || ',' || h.pos AS evidence FROM k JOIN m USING (entity) JOIN h USING (entity)"""
+_SQL_SCAN = f"""WITH {RQ}, w AS (SELECT entity, ts_us, pos, count(DISTINCT path) OVER f AS n, min(ts_us) OVER f AS first_us, count(*) OVER g AS again FROM rq
+      WINDOW f AS (PARTITION BY entity ORDER BY ts_us RANGE BETWEEN {CFG.scan_window_seconds * 1000000} PRECEDING AND CURRENT ROW),
+      g AS (PARTITION BY entity, path ORDER BY ts_us RANGE BETWEEN {CFG.scan_window_seconds * 1000000} PRECEDING AND CURRENT ROW)),
+    k AS (SELECT entity, n AS count, first_us, ts_us AS last_us, pos FROM w QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, ts_us, again, pos DESC) = 1),
+    e AS (SELECT k.entity, o.pos, row_number() OVER (PARTITION BY k.entity ORDER BY o.ts_us, o.pos) AS nth FROM k JOIN rq o ON o.entity = k.entity AND o.ts_us BETWEEN k.first_us AND k.last_us WHERE k.count >= {CFG.scan_distinct_min})
+    SELECT 'port-or-path-scan' AS kind, 4 AS severity, k.entity, k.count, k.first_us, k.last_us, k.entity || ' touched ' || k.count || ' distinct targets within {CFG.scan_window_seconds}s' AS title, string_agg(e.pos::VARCHAR, ',' ORDER BY e.nth) FILTER (e.nth <= 32) AS evidence FROM k JOIN e USING (entity) GROUP BY ALL"""
+_SQL_RARE = f"""WITH {EV}, s AS (SELECT 'syslog|' || host || k || '|' || app AS entity, ts_us, pos FROM ev),
+    c AS (SELECT entity, count(*) AS count, min(ts_us) AS first_us, max(ts_us) AS last_us, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS evidence FROM s GROUP BY entity HAVING count(*) <= {CFG.rare_signature_max})
+    SELECT 'rare-signature' AS kind, 5 AS severity, entity, count, first_us, last_us, 'rare event signature seen ' || count || ' time(s): ' || entity AS title, evidence FROM c"""
+
+
+@registered("det_bruteforce", _SQL_BRUTE)
+def det_bruteforce(spark, sf_dir):
+    return _text(detect.auth_bruteforce(logins(spark, sf_dir), CFG))
+
+
+@registered("det_spray", _SQL_SPRAY)
+def det_spray(spark, sf_dir):
+    return _text(detect.spray_then_hit(logins(spark, sf_dir), CFG))
+
+
+@registered("det_http_burst", _SQL_HTTP)
+def det_http_burst(spark, sf_dir):
+    return _text(detect.http_error_bursts(requests(spark, sf_dir), CFG))
+
+
+@registered("det_scan", _SQL_SCAN)
+def det_scan(spark, sf_dir):
+    return _text(detect.scans(requests(spark, sf_dir), CFG))
+
+
+@registered("det_spike", _SQL_SPIKE)
+def det_spike(spark, sf_dir):
+    return _text(detect.severity_spikes(events(spark, sf_dir), CFG))
+
+
+def _rare_events(spark, sf_dir):
+    """Events whose provider is host and number, so that some signatures are rare."""
+    rows = events(spark, sf_dir)
+    return rows.withColumns({"source": F.lit("syslog"), "provider": F.concat("host", F.col("fields")[0]["text"]), "message": F.col("app")})
+
+
+@registered("det_rare", _SQL_RARE)
+def det_rare(spark, sf_dir):
+    return _text(detect.rare_signatures(_rare_events(spark, sf_dir), CFG))
+
+
+@registered("det_all", f"SELECT * FROM ({_SQL_BRUTE}) UNION ALL SELECT * FROM ({_SQL_SPRAY}) UNION ALL SELECT * FROM ({_SQL_SPIKE})")
+def det_all(spark, sf_dir):
+    """All detectors over logins: those for requests find nothing there, and no signature is rare."""
+    return _text(detect.run(logins(spark, sf_dir), CFG))
+
+
+# --- order, limits and text formats ---
+
+
+@registered("sort_limit", f"WITH {EV} SELECT row_number() OVER (ORDER BY ts_us, pos) - 1 AS pos, app, message FROM ev ORDER BY 1 LIMIT 100")
+def sort_limit(spark, sf_dir):
+    return tables.sort_by_time(events(spark, sf_dir)).orderBy("pos").limit(100).select("pos", "app", "message")
+
+
+_JSON = f"""'{{"timestamp":"' || {ISO.format('ts_us')} || '","severity":"' || severity_name || '","source":"json","record_index":' || (pos + 1) || ',"host":"' || host || '","app":"' || app || '","user":"' || "user" || '","src_ip":"' || src_ip || '","message":"' || message || '","fields":{{"k":"' || k || '"}}}}'"""
+
+
+@registered("export_ndjson", f"WITH {EV} SELECT {_JSON} AS value FROM ev")
+def export_ndjson(spark, sf_dir):
+    return sinks.ndjson(events(spark, sf_dir))
+
+
+@registered("export_csv", f"WITH {EV} SELECT {ISO.format('ts_us')} || ',' || severity_name || ',json,' || (pos + 1) || ',' || host || ',' || app || ',,' || \"user\" || ',' || src_ip || ',,,,,,,,,,,' || message AS value FROM ev")
+def export_csv(spark, sf_dir):
+    return sinks.csv(events(spark, sf_dir))
+
+
+@registered("export_filtered", f"WITH {EV} SELECT {_JSON} AS value FROM ev WHERE app = 'error' AND \"user\" = 'u3'")
+def export_filtered(spark, sf_dir):
+    return sinks.ndjson(query.where(events(spark, sf_dir), "severity=error AND user=u3"))
+
