@@ -107,7 +107,8 @@ def parse_i64(c: Column) -> Column:
 
 def parse_u32(c: Column) -> Column:
     """bigint of a run of digits, clamped to 32 bits; null if not a 64-bit number."""
-    return F.least(parse_u64(c), F.lit(0xFFFFFFFF).cast("decimal(20,0)")).cast("bigint")
+    n = parse_u64(c)
+    return F.when(n.isNotNull(), F.least(n, F.lit(0xFFFFFFFF).cast("decimal(20,0)"))).cast("bigint")
 
 
 def truncate(c: Column, most: int) -> Column:
