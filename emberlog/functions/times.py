@@ -12,6 +12,12 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 SECOND = 1_000_000
 
 
+def floor_div(a: Column, b: int | Column) -> Column:
+    """bigint: a / b rounded down, exact for all 64-bit values."""
+    b = b if isinstance(b, Column) else F.lit(b).cast("bigint")
+    return F.call_function("div", a.cast("bigint") - F.pmod(a.cast("bigint"), b), b)
+
+
 def _part(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(c, pattern, group)
 
@@ -83,7 +89,7 @@ def clf(c: Column) -> Column:
 
 def filetime(ticks: Column) -> Column:
     """100-nanosecond ticks since 1601."""
-    return (F.floor(ticks / 10) - F.lit(11_644_473_600 * SECOND)).cast("bigint")
+    return floor_div(ticks, 10) - F.lit(11_644_473_600 * SECOND)
 
 
 def any_time(c: Column, year: int | Column = 1970) -> Column:
@@ -97,7 +103,7 @@ def to_iso8601(ts: Column) -> Column:
     """yyyy-mm-ddThh:mm:ss.uuuuuuZ, or `unknown`; years beyond 9999 have no sign."""
     whole = F.lit(86_400 * SECOND)
     rest = F.pmod(ts, whole)
-    date = F.regexp_replace(F.date_from_unix_date(((ts - rest) / whole).cast("int")).cast("string"), "^[+]", "")
+    date = F.regexp_replace(F.date_from_unix_date(floor_div(ts, whole).cast("int")).cast("string"), "^[+]", "")
     two = lambda c: F.lpad(c.cast("bigint").cast("string"), 2, "0")
     clock = [two(F.floor(rest / (3600 * SECOND))), two(F.floor(rest / (60 * SECOND)) % 60), two(F.floor(rest / SECOND) % 60)]
     text = F.concat(date, F.lit("T"), F.concat_ws(":", *clock), F.lit("."), F.lpad((rest % SECOND).cast("string"), 6, "0"), F.lit("Z"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.events import signature
+from emberlog.operators.windows import seconds
 from emberlog.schema import error_or_worse, severity_name
 
 #: Dimensions in the order of the report, with their titles.
@@ -33,7 +34,7 @@ def scalars(events: DataFrame) -> DataFrame:
     sums = events.agg(
         F.count("*").alias("total"), F.count("ts_us").alias("timed"), F.count_if(error_or_worse()).alias("error_or_worse"), F.min("ts_us").alias("earliest"), F.max("ts_us").alias("latest")
     )
-    span = F.when(F.col("timed") >= 2, F.floor((F.col("latest") - F.col("earliest")) / 1_000_000)).otherwise(0).cast("bigint")
+    span = F.when(F.col("timed") >= 2, seconds(F.col("latest") - F.col("earliest"))).otherwise(0).cast("bigint")
     return sums.select("total", "timed", (F.col("total") - F.col("timed")).alias("untimed"), "error_or_worse", "earliest", "latest", span.alias("span_seconds"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberlog.functions.times import floor_div
 from emberlog.operators.windows import SECOND, seconds
 from emberlog.schema import error_or_worse
 
@@ -17,7 +18,7 @@ def buckets(events: DataFrame, width_seconds: int) -> DataFrame:
     width = max(1, width_seconds) * SECOND
     timed = events.where("ts_us is not null")
     low = timed.agg(F.min("ts_us").alias("low"))  # one row
-    index = F.least(F.floor((F.col("ts_us") - F.col("low")) / width), F.lit(MOST_BUCKETS - 1)).cast("bigint")
+    index = F.least(floor_div(F.col("ts_us") - F.col("low"), width), F.lit(MOST_BUCKETS - 1).cast("bigint"))
     counts = timed.join(F.broadcast(low)).groupBy(index.alias("bucket"), "low").agg(F.count("*").alias("count"), F.count_if(error_or_worse()).alias("error_or_worse"))
     ends = counts.agg(F.max("bucket").alias("last"), F.max("low").alias("low")).where("last is not null")
     line = ends.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("bucket"), "low")
@@ -40,10 +41,10 @@ def gaps(events: DataFrame, threshold_seconds: int, most: int = MOST_GAPS) -> Da
     width = threshold_seconds * SECOND
     if threshold_seconds <= 0:
         return events.sparkSession.createDataFrame([], "before_us bigint, after_us bigint, seconds bigint")
-    piece = F.floor(F.col("ts_us") / width).cast("bigint")
+    piece = floor_div(F.col("ts_us"), width)
     ends = events.where("ts_us is not null").groupBy(piece.alias("slice")).agg(F.min("ts_us").alias("low"), F.max("ts_us").alias("high"))
     # Slices by block of slices, each with the last slice of the block before: no task sees all of them.
-    block = F.floor(F.col("slice") / 4096).cast("bigint")
+    block = floor_div(F.col("slice"), 4096)
     blocks = ends.groupBy(block.alias("block")).agg(F.max("high").alias("end"))
     before = blocks.withColumn("carried", F.max("end").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))).select("block", "carried")
     inside = W.partitionBy("block").orderBy("slice")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberlog.functions.times import floor_div
+
 SECOND = 1_000_000
 #: Windows that fit into a slice of time; a slice also holds the window before it, so this bounds the copies.
 SLICES = 16
@@ -13,8 +15,8 @@ SLICES = 16
 
 def sliced(rows: DataFrame, window_us: int, ts: str = "ts_us") -> DataFrame:
     """Adds `slice` and `own`: each row belongs to its slice, and as a guest to the next if a window may reach back to it."""
-    width = F.lit(max(1, window_us) * SLICES)
-    at = F.floor(F.col(ts) / width).cast("bigint")
+    width = F.lit(max(1, window_us) * SLICES).cast("bigint")
+    at = floor_div(F.col(ts), width)
     late = F.col(ts) >= (at + 1) * width - window_us
     copies = F.when(late, F.array(at, at + 1)).otherwise(F.array(at))
     return rows.withColumn("_at", at).withColumn("slice", F.explode(copies)).withColumn("own", F.col("slice") == F.col("_at")).drop("_at")
@@ -61,4 +63,4 @@ def first_positions(rows: DataFrame, cap: int, *keys: str) -> DataFrame:
 
 def seconds(us: Column) -> Column:
     """Whole seconds, towards zero."""
-    return F.when(us < 0, -F.floor(-us / SECOND)).otherwise(F.floor(us / SECOND)).cast("bigint")
+    return F.call_function("div", us.cast("bigint"), F.lit(SECOND).cast("bigint"))

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions import text as T
+from emberlog.functions import times
 from emberlog.operators import detect, query, sessions, sinks, stats, tables, timeline
 from emberlog.operators import events as E
 from emberlog.operators.detect import DetectionConfig
-from emberlog.plans.driver_views import events, logins, requests
+from emberlog.plans.driver_views import events, logins, requests, table
+from emberlog.plans import evtx_fixture
+from emberlog.sources import cef, evtx, jsonl, syslog, weblog
+from emberlog.sources import detect as formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -297,3 +302,170 @@ def export_csv(spark, sf_dir):
 def export_filtered(spark, sf_dir):
     return sinks.ndjson(query.where(events(spark, sf_dir), "severity=error AND user=u3"))
 
+
+
+# --- parsers: a line is rendered from a table, parsed, and held against the table's columns ---
+
+
+def _lined(rows: DataFrame, line) -> DataFrame:
+    return rows.select(F.lit("t").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("n").cast("bigint").alias("line_no"), line.alias("line"))
+
+
+_TS = "make_timestamp(epoch_us(ts))"
+
+
+@registered("parse_clf", f"SELECT event_id AS n, {IP} AS src_ip, 'u' || user_id AS \"user\", epoch_us(ts) // 1000000 * 1000000 AS ts_us, 'GET' AS http_method, '/p/' || event_id || '?t=' || event_type AS http_path, 200 + event_id % 400 AS http_status, event_id * 7 AS bytes, 'GET /p/' || event_id || '?t=' || event_type || ' -> ' || (200 + event_id % 400) AS message FROM events")
+def parse_clf(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("n", F.col("event_id"))
+    ip = F.concat(F.lit("10.0."), F.floor(F.col("user_id") / 256).cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string"))
+    line = F.concat(ip, F.lit(" - u"), F.col("user_id"), F.lit(" ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /p/'), F.col("n"), F.lit("?t="), F.col("event_type"), F.lit(' HTTP/1.1" '), 200 + F.col("n") % 400, F.lit(" "), F.col("n") * 7)
+    found = weblog.to_events(_lined(rows, line))
+    return found.select(F.col("record_index").alias("n"), "src_ip", "user", "ts_us", "http_method", "http_path", "http_status", F.col("bytes").cast("bigint").alias("bytes"), "message")
+
+
+@registered("parse_combined", "SELECT page_id AS n, url AS http_path, 'http://ref/' || page_id AS referer, 'agent \"' || page_id || '\"' AS user_agent FROM pages")
+def parse_combined(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").withColumn("n", F.col("page_id"))
+    line = F.concat(F.lit('h - - [10/Oct/2000:13:55:36 -0700] "GET '), F.col("url"), F.lit(' HTTP/1.0" 200 5 "http://ref/'), F.col("n"), F.lit('" "agent \\"'), F.col("n"), F.lit('\\""'))
+    found = weblog.parse(_lined(rows, line))
+    return found.select(F.col("line_no").alias("n"), F.col("request.target").alias("http_path"), "referer", "user_agent")
+
+
+@registered("parse_request_line", "SELECT page_id AS n, 'GET' AS method, url AS target, 'HTTP/1.1' AS version, true AS valid FROM pages")
+def parse_request_line(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").withColumn("r", weblog.request_line(F.concat(F.lit(" GET "), F.col("url"), F.lit("  HTTP/1.1"))))
+    return rows.select(F.col("page_id").alias("n"), "r.*")
+
+
+@registered("parse_decoded_path", "SELECT page_id AS n, regexp_extract(url, '^[^?#]*', 0) || ' é' AS path FROM pages")
+def parse_decoded_path(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages")
+    return rows.select(F.col("page_id").alias("n"), weblog.decoded_path(F.concat(F.regexp_extract("url", "^[^?#]*", 0), F.lit("+%c3%A9?x=%20"))).alias("path"))
+
+
+@registered("parse_syslog3164", "SELECT event_id AS n, epoch_us(ts) // 1000000 * 1000000 AS ts_us, event_id % 8 AS severity, 'h' || (user_id % 8) AS host, event_type AS app, user_id AS pid, 'value ' || event_id AS message FROM events")
+def parse_syslog3164(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("n", F.col("event_id"))
+    line = F.concat(F.lit("<"), F.col("n") % 192, F.lit(">"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" h"), F.col("user_id") % 8, F.lit(" "), F.col("event_type"), F.lit("["), F.col("user_id"), F.lit("]: value "), F.col("n"))
+    found = syslog.to_events(_lined(rows, line), 2024)
+    return found.select(F.col("record_index").alias("n"), "ts_us", F.col("severity").cast("bigint").alias("severity"), "host", "app", "pid", "message")
+
+
+@registered("parse_syslog5424", "SELECT event_id AS n, epoch_us(ts) AS ts_us, event_id % 8 AS severity, 'h' || (user_id % 8) AS host, event_type AS app, user_id AS pid, 'value ' || event_id AS message, 'm@1.k=' || json_extract_string(props, '$.k') || ';m@1.q=a]\"' AS fields FROM events")
+def parse_syslog5424(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("n", F.col("event_id"))
+    k = F.get_json_object("props", "$.k")
+    line = F.concat(F.lit("<"), F.col("n") % 192, F.lit(">1 "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z h"), F.col("user_id") % 8, F.lit(" "), F.col("event_type"), F.lit(" "), F.col("user_id"), F.lit(' - [m@1 k="'), k, F.lit('" q="a\\]\\""] value '), F.col("n"))
+    found = syslog.to_events(_lined(rows, line))
+    fields = F.array_join(F.transform("fields", lambda f: F.concat(f["key"], F.lit("="), f["text"])), ";")
+    return found.select(F.col("record_index").alias("n"), "ts_us", F.col("severity").cast("bigint").alias("severity"), "host", "app", "pid", "message", fields.alias("fields"))
+
+
+@registered("parse_cef", f"SELECT event_id AS n, epoch_us(ts) // 1000 * 1000 AS ts_us, CASE WHEN event_id % 11 <= 3 THEN 6 WHEN event_id % 11 <= 6 THEN 4 WHEN event_id % 11 <= 8 THEN 3 ELSE 2 END AS severity, 'V|x ' || event_type AS provider, event_id % 1000 AS event_id, {IP} AS src_ip, 80 + user_id AS dst_port, 'u' || user_id AS \"user\", 'a=b value ' || event_id AS message FROM events")
+def parse_cef(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("n", F.col("event_id"))
+    ip = F.concat(F.lit("10.0."), F.floor(F.col("user_id") / 256).cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string"))
+    ms = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1000)
+    line = F.concat(F.lit("CEF:0|V\\|x|"), F.col("event_type"), F.lit("|1.0|"), F.col("n") % 1000, F.lit("|name|"), F.col("n") % 11, F.lit("|src="), ip, F.lit(" dpt="), 80 + F.col("user_id"), F.lit(" suser=u"), F.col("user_id"), F.lit(" msg=a\\=b value "), F.col("n"), F.lit(" rt="), ms)
+    found = cef.to_events(_lined(rows, line))
+    return found.select(F.col("record_index").alias("n"), "ts_us", F.col("severity").cast("bigint").alias("severity"), "provider", "event_id", "src_ip", "dst_port", "user", "message")
+
+
+@registered("parse_json", "SELECT event_id AS n, epoch_us(ts) AS ts_us, CASE event_type WHEN 'error' THEN 3 ELSE 8 END AS severity, event_type AS message, 'h' || (user_id % 8) AS host, 'a.b=' || user_id || ';a.c.0=' || event_id || ';a.c.1=true' AS fields FROM events")
+def parse_json(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("n", F.col("event_id"))
+    line = F.concat(F.lit('{"@timestamp":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('Z","level":"'), F.col("event_type"), F.lit('","msg":"'), F.col("event_type"), F.lit('","host":"h'), F.col("user_id") % 8, F.lit('","a":{"b":'), F.col("user_id"), F.lit(',"c":['), F.col("n"), F.lit(",true]}}"))
+    found = jsonl.to_events(_lined(rows, line))
+    own = F.filter("fields", lambda f: f["key"].startswith("a."))
+    fields = F.array_join(F.transform(own, lambda f: F.concat(f["key"], F.lit("="), f["text"])), ";")
+    return found.select(F.col("line_no").alias("n"), "ts_us", F.col("severity").cast("bigint").alias("severity"), "message", "host", fields.alias("fields"))
+
+
+# --- times ---
+
+
+def _time(name: str, text: Callable, parse: Callable, unit: int) -> None:
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "events")
+        return rows.select("event_id", parse(text()).cast("bigint").alias("ts_us"))
+
+    registered(f"time_{name}", f"SELECT event_id, epoch_us(ts) // {unit} * {unit} AS ts_us FROM events")(run)
+
+
+_time("iso", lambda: F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")), times.iso8601, 1)
+_time("bsd", lambda: F.date_format("ts", "MMM d HH:mm:ss"), lambda c: times.bsd(c, 2024), 1000000)
+_time("clf", lambda: F.concat(F.lit("["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000]")), times.clf, 1000000)
+_time("any", lambda: F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.unix_timestamp("ts").cast("string")), times.any_time, 1000000)
+_time("filetime", lambda: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) * 10 + F.lit(116444736000000000), times.filetime, 1)
+
+
+@registered("time_offset", "SELECT event_id, epoch_us(ts) // 1000000 * 1000000 - 5400000000 AS ts_us FROM events")
+def time_offset(spark, sf_dir):
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0130"))
+    return table(spark, sf_dir, "events").select("event_id", times.iso8601(text).cast("bigint").alias("ts_us"))
+
+
+@registered("time_to_iso", f"SELECT event_id, {ISO.format('epoch_us(ts)')} AS text FROM events")
+def time_to_iso(spark, sf_dir):
+    return events(spark, sf_dir).select(F.col("pos").alias("event_id"), times.to_iso8601(F.col("ts_us")).alias("text"))
+
+
+@registered("time_calendar", "SELECT DISTINCT year(o_orderdate) AS y, month(o_orderdate) AS m, day(last_day(o_orderdate)) AS n, (year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0 AS leap FROM orders")
+def time_calendar(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).distinct()
+    return rows.select("y", "m", times.days_in_month(F.col("y"), F.col("m")).alias("n"), times.leap_year(F.col("y")).alias("leap"))
+
+
+# --- texts ---
+
+
+def _text_query(name: str, source: str, key: str, value: Callable, sql: str) -> None:
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, source).select(key, value().alias("value"))
+
+    registered(f"text_{name}", f"SELECT {key}, {sql} AS value FROM {source}")(run)
+
+
+_text_query("truncate", "customer", "c_custkey", lambda: T.truncate(F.col("c_name"), 10), "CASE WHEN strlen(c_name) > 10 THEN left(c_name, 7) || '...' ELSE c_name END")
+_text_query("sanitize", "nation", "n_nationkey", lambda: T.sanitize(F.concat("n_name", F.lit("\té\n"))), "n_name || '\\t\\xc3\\xa9\\n'")
+_text_query("lower", "documents", "doc_id", lambda: F.md5(T.ascii_lower(F.col("text"))), "md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))")
+_text_query("hex", "documents", "doc_id", lambda: F.md5(T.to_hex(F.encode("text", "UTF-8"))), "md5(lower(hex(encode(text))))")
+_text_query("from_hex", "customer", "c_custkey", lambda: T.from_hex(T.to_hex(F.encode("c_name", "UTF-8"))).cast("string"), "c_name")
+_text_query("base64", "documents", "doc_id", lambda: F.md5(T.base64_decode(F.base64(F.encode("text", "UTF-8")))), "md5(text)")
+_text_query("percent", "customer", "c_custkey", lambda: T.percent_decode(F.concat(F.replace("c_name", F.lit("#"), F.lit("%23")), F.lit("+%zz%"))), "c_name || ' %zz%'")
+_text_query("utf8", "documents", "doc_id", lambda: T.valid_utf8(F.col("text")), "true")
+_text_query("trim", "nation", "n_nationkey", lambda: T.trim(F.concat(F.lit(" \t\n"), F.col("n_name"), F.lit("\f\r "))), "n_name")
+_text_query("integers", "orders", "o_orderkey", lambda: T.parse_i64(F.concat(F.lit("-"), F.col("o_orderkey"))), "-o_orderkey")
+_text_query("unsigned", "orders", "o_orderkey", lambda: T.parse_u64(F.concat(F.col("o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(" "))).cast("bigint"), "CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END")
+_text_query("split", "pages", "page_id", lambda: F.array_join(T.split(F.col("url"), "/", True), "|"), "array_to_string(list_filter(string_split(url, '/'), lambda x: x <> ''), '|')")
+_text_query("utf16", "nation", "n_nationkey", lambda: T.utf16le(F.encode("n_name", "UTF-16LE")), "n_name")
+
+
+# --- formats and binary logs ---
+
+
+@registered("detect_format", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'syslog' WHEN 2 THEN 'cef' WHEN 3 THEN 'web' ELSE 'evtx' END AS format FROM events")
+def detect_format(spark, sf_dir):
+    heads = ("  {\"a\":1}", "<34>Oct 11 22:14:15 h su: x", "<1>h CEF:0|a|b|c|d|e|5|", 'h - - [x] "GET / HTTP/1.1" 200 1', "ElfFile")
+    head = F.get(F.array(*map(F.lit, heads)), (F.col("event_id") % 5).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", formats.detect_format(F.encode(head, "UTF-8")).alias("format"))
+
+
+@registered("evtx_records", "SELECT n_nationkey AS record_index, 1000 + n_nationkey AS event_id, n_name AS host, 'Sec' AS channel, 3 AS severity, 'Sec EventID=' || (1000 + n_nationkey) || ' ' || n_name AS message FROM nation WHERE n_nationkey > 0")
+def evtx_records(spark, sf_dir):
+    """One file is made of the table's rows, and read again."""
+    rows = table(spark, sf_dir, "nation").where("n_nationkey > 0").select(F.col("n_nationkey").cast("bigint").alias("n"), "n_name")
+    files = rows.groupBy((F.col("n") % 3).alias("k")).agg(F.array_sort(F.collect_list(F.struct("n", "n_name"))).alias("rows"))
+    made = files.select(F.concat(F.lit("f"), "k").alias("file"), evtx_fixture.file_column(F.col("rows")).alias("content"))
+    return evtx.to_events(made).select("record_index", "event_id", "host", "channel", F.col("severity").cast("bigint").alias("severity"), "message")
+
+
+@registered("stats_first_keys", f"WITH {EV}, c AS (SELECT app AS key, count(*) AS count, min(pos) AS since FROM ev GROUP BY app) SELECT key, count FROM c ORDER BY since LIMIT 3")
+def stats_first_keys(spark, sf_dir):
+    return stats.first_keys(events(spark, sf_dir), "app", 3)
+
+
+@registered("det_evidence", f"WITH a AS ({_SQL_SPIKE}), b AS (SELECT unnest(string_split(evidence, ','))::BIGINT AS pos FROM a) SELECT 'severity-spike' AS kind, pos, event_type AS app FROM b JOIN events ON event_id = pos")
+def det_evidence(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return detect.evidence(detect.severity_spikes(rows, CFG), rows).select("kind", "pos", "app")
