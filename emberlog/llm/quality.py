@@ -14,7 +14,6 @@ import operator
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ from emberlog.llm.common import written
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Share of rows in the robust core, concentration steps, rows that a group needs, the cut on the squared distance.
 CORE, STEPS, GROUP_ROWS, CUT = 0.75, 3, 80, 60.0
+#: Groups whose estimates (some 250 bytes each) are broadcast; beyond, parts into which a group is spread.
+BROADCAST_GROUPS, SALTS = 10_000, 32
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 _GAPS = " \t\n\v\f\r"
@@ -105,8 +106,16 @@ def _vector() -> dict[str, Column]:
     }
 
 
-def _grouped(rows: DataFrame, least: int) -> DataFrame:
-    """Adds g, the finest group with enough rows; null where even the rest is too small."""
+def _with(rows: DataFrame, params: DataFrame, on: list[str], groups: int, how: str = "inner") -> DataFrame:
+    """Rows with what belongs to their group: broadcast for a counted, bounded number of groups, else spread by a salt."""
+    if groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(params), on, how)
+    salted = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.hash(*VECTOR), F.lit(SALTS))).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
+def _grouped(rows: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """Adds g, the finest group with enough rows, or null where even the rest is too small; and gives the number of groups."""
     name = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
     rows = rows.withColumn("g_lang", name("lang")).withColumn("g_source", name("source"))
     fine = rows.where("judged").groupBy("g_lang", "g_source").agg(F.count("*").alias("n")).withColumn("fine", F.col("n") >= least)
@@ -114,7 +123,8 @@ def _grouped(rows: DataFrame, least: int) -> DataFrame:
     pairs = written(fine.join(rest, "g_lang", "left"))
     spare = pairs.where(~F.col("fine") & ~F.col("middle")).agg(F.sum("n")).first()[0] or 0
     g = F.when(F.col("fine"), F.concat_ws("\u0000", "g_lang", "g_source")).when(F.col("middle"), F.col("g_lang")).when(F.lit(spare >= least), F.lit(""))
-    return rows.join(pairs.select("g_lang", "g_source", g.alias("g")), ["g_lang", "g_source"], "left").drop("g_lang", "g_source")
+    groups = pairs.count()
+    return _with(rows, pairs.select("g_lang", "g_source", g.alias("g")), ["g_lang", "g_source"], groups, "left").drop("g_lang", "g_source"), groups
 
 
 def _distance(prefix: str = "") -> Column:
@@ -126,15 +136,17 @@ def _distance(prefix: str = "") -> Column:
     return total
 
 
-def _inverted(moments: DataFrame) -> DataFrame:
+def _inverted(moments: DataFrame, groups: int) -> DataFrame:
     """Centre and inverse covariance from a group's mean products; one row a group."""
     out = "g string, " + ", ".join(f"c_{x} double" for x in VECTOR) + ", " + ", ".join(f"p_{a}_{b} double" for a, b in PAIRS)
     floor = np.diag([v**2 for v in FEATURES.values()])
 
-    def invert(frames):
-        for frame in frames:
+    names = ["g", *(f"c_{x}" for x in VECTOR), *(f"p_{a}_{b}" for a, b in PAIRS)]
+
+    def invert(batches):
+        for batch in batches:
             rows = []
-            for row in frame.to_dict("records"):
+            for row in batch.to_pylist():
                 centre = np.array([row[f"m_{x}"] for x in VECTOR])
                 cov = np.zeros((len(VECTOR),) * 2)
                 for a, b in PAIRS:
@@ -143,10 +155,12 @@ def _inverted(moments: DataFrame) -> DataFrame:
                 values, vectors = np.linalg.eigh((cov + cov.T) / 2)
                 cov = (vectors * np.maximum(values, 0)) @ vectors.T * row["scale"] + floor
                 inverse = np.linalg.inv(cov)
-                rows.append((row["g"], *centre, *(inverse[VECTOR.index(a), VECTOR.index(b)] for a, b in PAIRS)))
-            yield pd.DataFrame(rows, columns=["g", *(f"c_{x}" for x in VECTOR), *(f"p_{a}_{b}" for a, b in PAIRS)])
+                rows.append((row["g"], *centre.tolist(), *(float(inverse[VECTOR.index(a), VECTOR.index(b)]) for a, b in PAIRS)))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.float64()) for c in cols[1:])], names)
 
-    return moments.mapInPandas(invert, out)
+    return moments.coalesce(1 + groups // 5000).mapInArrow(invert, out)
 
 
 def _moments(rows: DataFrame, scale: float) -> DataFrame:
@@ -156,22 +170,23 @@ def _moments(rows: DataFrame, scale: float) -> DataFrame:
 
 def outliers(rows: DataFrame, core: float = CORE, steps: int = STEPS, least: int = GROUP_ROWS) -> DataFrame:
     """Adds `distance` (squared, null where nothing judges) to rows with a vector, lang, source and a flag `judged`."""
-    rows = written(_grouped(rows, least))
+    rows, groups = _grouped(rows, least)
+    rows = written(rows)
     own = rows.where(F.col("judged") & F.col("g").isNotNull()).select("g", *VECTOR)
     # Start: the middle of each statistic, and its spread by the middle deviation.
     middle = written(own.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"c_{x}") for x in VECTOR)))
-    spread = own.join(middle, "g").groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"c_{x}")), 0.5, 2000).alias(f"d_{x}") for x in VECTOR))
+    spread = _with(own, middle, ["g"], groups).groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"c_{x}")), 0.5, 2000).alias(f"d_{x}") for x in VECTOR))
     start = [
         (1 / (F.pow(1.4826 * F.col(f"d_{a}"), F.lit(2.0)) + F.lit(FEATURES[a] ** 2)) if a == b else F.lit(0.0)).alias(f"p_{a}_{b}") for a, b in PAIRS
     ]
     shape = written(middle.join(spread, "g").select("g", *(f"c_{x}" for x in VECTOR), *start))
     for _ in range(steps):
-        far = own.join(shape, "g").withColumn("distance", _distance()).select("g", "distance", *VECTOR)
+        far = _with(own, shape, ["g"], groups).withColumn("distance", _distance()).select("g", "distance", *VECTOR)
         reach = far.groupBy("g").agg(F.percentile_approx("distance", core, 2000).alias("reach"))
         # The core's covariance is too small by a factor that holds for normal vectors.
-        inner = far.join(reach, "g").where(F.col("distance") <= F.col("reach"))
-        shape = written(_inverted(_moments(inner, consistency(core, len(VECTOR)))))
-    judged = rows.join(shape, "g", "left").withColumn("distance", F.when(F.col("judged"), _distance()))
+        inner = _with(far, reach, ["g"], groups).where(F.col("distance") <= F.col("reach"))
+        shape = written(_inverted(_moments(inner, consistency(core, len(VECTOR))), groups))
+    judged = _with(rows, shape, ["g"], groups, "left").withColumn("distance", F.when(F.col("judged"), _distance()))
     return judged.drop("g", *(f"c_{x}" for x in VECTOR), *(f"p_{a}_{b}" for a, b in PAIRS))
 
 
