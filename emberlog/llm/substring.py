@@ -22,7 +22,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,10 +32,21 @@ from emberlog.llm.common import partitions, words_of, written
 
 BLOCK, ANCHOR = 20, 8
 #: Words remembered by a worker; bytes of text settled together; least and most bits of the filter of anchors.
-WORDS, TOGETHER, LEAST_BITS, MOST_BITS = 400_000, 6 << 20, 1 << 20, 1 << 28
+WORDS, TOGETHER, LEAST_BITS, MOST_BITS = 250_000, 2 << 20, 1 << 20, 1 << 28
 
 _K, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_words: dict[bytes, int] = {}
+
+class _Words(dict):
+    """64-bit hashes of words; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        own = self[word] = xxhash.xxh3_64_intdigest(word)
+        return own
+
+
+_words = _Words()
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -48,10 +58,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
@@ -127,51 +133,40 @@ def _known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).all(axis=0)
 
 
-#: Of a match: start in the document, source document, start in it.
-MATCH = np.dtype([("start", "<i4"), ("source", "<i8"), ("at", "<i4")])
-
-
-def _packed_rows(doc: np.ndarray, start: np.ndarray, source: np.ndarray, at: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Matches gathered by document."""
-    order = np.lexsort((start, doc))
-    rows = np.empty(len(doc), MATCH)
-    rows["start"], rows["source"], rows["at"] = start[order], source[order], at[order]
-    doc = doc[order]
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
-    zip_ = zstandard.ZstdCompressor(level=1)
-    # Field by field, so that like bytes lie together.
-    pack = lambda r: zip_.compress(r["start"].tobytes() + r["source"].tobytes() + r["at"].tobytes())
-    return doc[cuts].tolist(), [pack(rows[a:b]) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
-
+#: Index rows have no source. A match has the smallest known place of its block: source document and start there (at).
+_ROWS = "key long, check int, doc long, start int, source long, at int"
+_NAMES = ["key", "check", "doc", "start", "source", "at"]
+_MATCH = "doc long, start int, source long, at int"
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    n = len(raw) // MATCH.itemsize
-    rows = np.empty(n, MATCH)
-    rows["start"], rows["source"], rows["at"] = np.frombuffer(raw, "<i4", n), np.frombuffer(raw, "<i8", n, 4 * n), np.frombuffer(raw, "<i4", n, 12 * n)
-    return rows
 
-
-_ROWS = "key long, check int, doc long, start int, packed binary"
-_NAMES = ["key", "check", "doc", "start", "packed"]
-
-
-def _row_batch(key, check, doc, start, docs, packed) -> pa.RecordBatch:
-    """Index rows, then rows of matches that are settled (start -1), spread by document."""
-    n, m = len(key), len(docs)
-    spread = [xxhash.xxh3_64_intdigest(d.to_bytes(8, "little", signed=True)) - (1 << 63) for d in docs]
+def _row_batch(new: np.ndarray, old: np.ndarray, key, check, doc, start, head) -> pa.RecordBatch:
+    """Index rows, then matches that are settled, dealt by a hash of the document."""
+    n, m = int(new.sum()), int(old.sum())
+    spread = _mixed(doc[old].view(np.uint64)).view(np.int64)
+    nothing = np.r_[np.ones(n, bool), np.zeros(m, bool)]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.r_[key.view(np.int64), np.array(spread, np.int64)]),
-            pa.array(np.r_[check, np.zeros(m, np.int32)]),
-            pa.array(np.r_[doc, np.array(docs, np.int64)]),
-            pa.array(np.r_[start, np.full(m, -1)].astype(np.int32)),
-            pa.array([None] * n + packed, pa.binary()),
+            pa.array(np.r_[key[new].view(np.int64), spread]),
+            pa.array(np.r_[check[new], np.zeros(m, np.int32)]),
+            pa.array(np.r_[doc[new], doc[old]]),
+            pa.array(np.r_[start[new], start[old]]),
+            pa.array(np.r_[np.zeros(n, np.int64), doc[head[old]]], mask=nothing),
+            pa.array(np.r_[np.zeros(n, np.int32), start[head[old]]], mask=nothing),
         ],
         _NAMES,
     )
 
 
+def _in_order(key, check, doc, start) -> np.ndarray:
+    """The order by key, check, document, start; rows mostly come in that of documents already."""
+    if (doc[1:] >= doc[:-1]).all():
+        order = np.argsort(key, kind="stable")
+        k, c = key[order], check[order]
+        if not ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
+            return order
+    return np.lexsort((start, doc, check, key))
+
+
 def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """Blocks with a repeated anchor; of equal ones in a batch only the first goes on, the others have found a source."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -193,29 +188,28 @@ def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             if not parts:
                 continue
             key, check, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, doc, check, key))
+            order = _in_order(key, check, doc, start)
             key, check, doc, start = key[order], check[order], doc[order], start[order]
             new = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])]
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             old = ~new & ((doc != doc[head]) | (start != start[head]))
-            settled = _packed_rows(doc[old], start[old], doc[head[old]], start[head[old]])
-            yield _row_batch(key[new], check[new], doc[new], start[new], *settled)
+            yield _row_batch(new, old, key, check, doc, start, head)
 
     return docs.select("doc_id", "text").mapInArrow(made, _ROWS)
 
 
 def _matches(candidates: DataFrame) -> DataFrame:
-    """(doc, packed): for the blocks of each document their smallest place, where that is earlier."""
+    """(doc, start, source, at): for each block of a document its smallest place, where that is earlier."""
 
     def scan(batches):
         last = None  # key, check, document, start of the open block's smallest place
+        names = _NAMES[2:]
         for batch in batches:
-            start = batch.column(3).to_numpy()
-            done = start < 0
-            if done.any():
-                ready = batch.filter(pa.array(done))
-                yield pa.RecordBatch.from_arrays([ready.column(2), ready.column(4)], ["doc", "packed"])
-            here = np.flatnonzero(~done)
+            settled = batch.column(4).is_valid()
+            ready = batch.filter(settled)
+            if ready.num_rows:
+                yield pa.RecordBatch.from_arrays(ready.columns[2:], names)
+            here = np.flatnonzero(~settled.to_numpy(zero_copy_only=False))
             if not len(here):
                 continue
             key, check, doc, start = (batch.column(k).to_numpy()[here] for k in range(4))
@@ -225,30 +219,31 @@ def _matches(candidates: DataFrame) -> DataFrame:
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             old = ~new & ((doc != doc[head]) | (start != start[head]))
             if old.any():
-                docs, packed = _packed_rows(doc[old], start[old], doc[head[old]], start[head[old]])
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(packed, pa.binary())], ["doc", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[old], start[old], doc[head[old]], start[head[old]])], names)
             h = head[-1]
             last = key[h : h + 1], check[h : h + 1], doc[h : h + 1], start[h : h + 1]
 
     n = partitions(candidates.sparkSession)
-    return candidates.repartition(n, "key").sortWithinPartitions("key", "check", "doc", "start").mapInArrow(scan, "doc long, packed binary")
+    return candidates.repartition(n, "key").sortWithinPartitions("key", "check", "doc", "start").mapInArrow(scan, _MATCH)
 
 
-def factors(matches: np.ndarray) -> list[tuple[int, int, int, int]]:
+def factors(start: np.ndarray, source: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(start, words, source document, start there), in order: the greedy parse over known blocks.
 
     A block that continues the last one at its source lengthens the factor; any other opens a new
     one, also where it overlaps the last factor: that is the look across the boundary.
     """
-    rows = matches[np.lexsort((matches["at"], matches["source"], matches["start"]))]
-    rows = rows[np.r_[True, rows["start"][1:] != rows["start"][:-1]]] if len(rows) else rows
-    if not len(rows):
+    if not len(start):
         return []
-    go_on = (np.diff(rows["start"]) == 1) & (np.diff(rows["source"]) == 0) & (np.diff(rows["at"]) == 1)
+    order = np.lexsort((at, source, start))
+    start, source, at = start[order], source[order], at[order]
+    once = np.r_[True, start[1:] != start[:-1]]
+    start, source, at = start[once], source[once], at[once]
+    go_on = (np.diff(start) == 1) & (np.diff(source) == 0) & (np.diff(at) == 1)
     heads = np.flatnonzero(np.r_[True, ~go_on])
-    ends = np.r_[heads[1:], len(rows)] - 1
-    words = rows["start"][ends] - rows["start"][heads] + BLOCK
-    return list(zip(rows["start"][heads].tolist(), words.tolist(), rows["source"][heads].tolist(), rows["at"][heads].tolist(), strict=True))
+    ends = np.r_[heads[1:], len(start)] - 1
+    words = start[ends] - start[heads] + BLOCK
+    return list(zip(start[heads].tolist(), words.tolist(), source[heads].tolist(), at[heads].tolist(), strict=True))
 
 
 def parsed(docs: DataFrame, fold, schema: str, carry: list[str] | None = None) -> DataFrame:
@@ -264,7 +259,7 @@ def parsed(docs: DataFrame, fold, schema: str, carry: list[str] | None = None) -
     matches = _matches(_candidates(rows, _filter(written(_anchor_counts(rows)))))
 
     def packed_texts(batches):
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_ = zstandard.ZstdCompressor(level=2)
         for batch in text_batches(batches):
             packed = [None if t is None else zip_.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1] * len(packed), pa.int32()), pa.array(packed, pa.binary()), *batch.columns[2:]], ["doc", "role", "packed", *carried])
@@ -272,27 +267,42 @@ def parsed(docs: DataFrame, fold, schema: str, carry: list[str] | None = None) -
     types = {c: dict(docs.dtypes)[name] for c, name in zip(carried, carry or [], strict=True)}
     with_text = docs.select("doc_id", "text", *(F.col(name).alias(c) for c, name in zip(carried, carry or [], strict=True)))
     texts = with_text.mapInArrow(packed_texts, ", ".join(["doc long, role int, packed binary", *(f"{c} {t}" for c, t in types.items())]))
-    met = matches.select("doc", F.lit(0).alias("role"), "packed").unionByName(texts, allowMissingColumns=True)
+    met = matches.withColumn("role", F.lit(0)).unionByName(texts, allowMissingColumns=True).select("doc", "role", "start", "source", "at", "packed", *carried)
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
 
     def folded(batches):
         unzip, doc, held, found = zstandard.ZstdDecompressor(), None, [], []
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows, part = [], batch.slice(start, 256)
-                for d, role, packed in zip(*(c.to_pylist() for c in part.columns[:3]), strict=True):
-                    if d != doc:
-                        doc, held, found = d, [], None
-                    if role == 0:
-                        held.append(_unpacked(packed))
-                        continue
-                    if found is None:
-                        found, held = factors(np.concatenate(held)) if held else [], []
-                    rows.append(fold(d, None if packed is None else unzip.decompress(packed).decode("utf-8", "surrogatepass"), found if d is not None else []))
-                if rows:
-                    own = part.filter(pc.equal(part.column(1), 1)).columns[3:]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *own], [*names, *carried])
+            ids = batch.column(0).fill_null(0).to_numpy()
+            gone = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            role = batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (gone[1:] != gone[:-1]) | (role[1:] != role[:-1]), True][: len(ids) + 1]).tolist()
+            rows: list = []
+            texts: list[int] = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own = None if gone[a] else int(ids[a])
+                if own != doc or own is None:
+                    doc, held, found = own, [], None
+                if role[a] == 0:
+                    held.append(tuple(batch.column(k).slice(a, b - a).to_numpy() for k in (2, 3, 4)))
+                    continue
+                if found is None:
+                    found = factors(*(np.concatenate(x) for x in zip(*held, strict=True))) if held and own is not None else []
+                    held = []
+                for k in range(a, b):
+                    packed = batch.column(5)[k].as_py()
+                    rows.append(fold(own, None if packed is None else unzip.decompress(packed).decode("utf-8", "surrogatepass"), found))
+                    texts.append(k)
+                    if len(rows) >= 256:
+                        yield result(batch, rows, texts)
+                        rows, texts = [], []
+            if rows:
+                yield result(batch, rows, texts)
+
+    def result(batch, rows, texts):
+        carried_along = [c.take(pa.array(texts)) for c in batch.columns[6:]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *carried_along], [*names, *carried])
 
     placed = met.repartition(partitions(docs.sparkSession), "doc").sortWithinPartitions("doc", "role")
     found = placed.mapInArrow(folded, ", ".join([schema, *(f"{c} {t}" for c, t in types.items())]))
