@@ -12,9 +12,10 @@ another, so that no key stands for "nothing". Every set emits its keys for its o
 larger bands that hold sets similar to it.
 
 Sets that meet under a key are candidates. They are verified exactly, but not all pairs of a bucket:
-first each document against the bucket's smallest one it meets most often, then against the other
-smallest ones it is not yet connected to, and last, for buckets whose members still lie in different
-components, all pairs across components. A pair never verified is connected already, so components
+pairs that share fewer keys than similar sets must are out; of the others, each document is held first
+against the one it shares most with (in long buckets: the bucket's head), then against the others it is
+not yet connected to; and last, for long buckets whose members still lie in different components, against
+members of other components. A pair never verified is connected already, so components
 are those of the complete link graph.
 """
 
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,14 +38,30 @@ from emberlog.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 #: Band width, and the cost model: keys count 1, and a segment of k elements meets by chance like CHANCE * COMMON ** k.
-WIDTH, CHANCE, COMMON = 1.25, 2.0, 0.3
+WIDTH, CHANCE, COMMON = 1.25, 0.5, 0.3
 #: Partitions of the universe to try for sets with empty segments; words and sets that a worker remembers.
-SEEDS, WORDS, SETS = 8, 400_000, 200_000
+SEEDS, WORDS, SETS = 8, 250_000, 200_000
 #: Bits of the filter of candidate documents: what it lets through wrongly costs time only. Members of a star verified by one task.
 FILTER_BITS, STAR = 1 << 23, 2000
+#: Documents under a key beyond which it costs too much to keep where it can be done without.
+HOT = 10
+#: 64-bit words of the parity bitmap of a set.
+BITMAP = 16
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_words: dict[bytes, int] = {}
+
+
+class _Words(dict):
+    """64-bit hashes of words; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        own = self[word] = xxhash.xxh3_64_intdigest(word)
+        return own
+
+
+_words = _Words()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,17 +76,15 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
     own = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     n = len(own) - width + 1
     key = np.full(n, np.uint64(width))
     with np.errstate(over="ignore"):
         for k in range(width):
-            key = mixed(key + own[k : k + n] * _K1)
+            key *= _K1
+            key += own[k : k + n]
+    key = mixed(key)
     return np.unique(key)
 
 
@@ -81,6 +96,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """Parities of hashed elements: two of them differ in no more bits than the sets in elements."""
+    odd = np.bincount((elements & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 @lru_cache(maxsize=None)
 def band(k: int, percent: int = PERCENT) -> tuple[int, int, int, int, int]:
     """(least size, most, allowed difference, segments, segments with a neighbourhood) of a band."""
@@ -117,9 +138,14 @@ def bands(n: int, percent: int = PERCENT) -> list[int]:
     return found
 
 
-def keys(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys under which a set meets all sets similar to it."""
-    out = []
+def keys(elements: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set meets all sets similar to it, and a note on each.
+
+    A note holds the band (8 bits), the set's spare count in this band (16) and the count of the key's
+    segment (2). A set may give up keys of a band whose counts sum up to the spare count, and still
+    meets what it must.
+    """
+    out, notes = [], []
     for k in bands(len(elements), percent):
         _, _, differ, m, q = band(k, percent)
         for seed in range(SEEDS):
@@ -127,91 +153,151 @@ def keys(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             at = (((x >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)  # rises with x
             starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             segment, size = at[starts], np.diff(np.r_[starts, len(at)])
+            near = (segment < q) & (size > 1)
+            spare = len(starts) + int(near.sum()) - differ - 1
+            note = (min(k, 255) << 20) + (min(max(spare, 0), 0xFFFF) << 2)
+            place = (k << 40) + (seed << 34)
             with np.errstate(over="ignore"):
                 value = mixed(x + _K1)
                 total = np.add.reduceat(value, starts)
-                name = mixed(segment.astype(np.uint64) + np.uint64((k << 40) + (seed << 34)))
+                name = mixed(segment.astype(np.uint64) + np.uint64(place))
                 out.append(mixed(total + name))
-                near = (segment < q) & (size > 1)
+                notes.append(note + 1 + near)
                 if near.any():
                     inside = np.repeat(near, size)
                     out.append(mixed((np.repeat(total, size) - value + np.repeat(name, size))[inside]))
-                enough = len(starts) + int(near.sum()) > differ
-                if not enough and seed == SEEDS - 1:
-                    blank = np.setdiff1d(np.arange(m), segment).astype(np.uint64)
-                    out.append(mixed(mixed(blank + np.uint64((k << 40) + (seed << 34)))))
-            if enough:
+                    notes.append(np.full(len(out[-1]), note + 2))
+                if spare < 0 and seed == SEEDS - 1:
+                    out.append(mixed(mixed(np.setdiff1d(np.arange(m), segment).astype(np.uint64) + np.uint64(place))))
+                    notes.append(np.full(len(out[-1]), note + 3))  # never given up
+            if spare >= 0:
                 break
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out), np.concatenate(notes).astype(np.int32)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and two hashes of the set of every row."""
-
-    def made(batches):
-        for batch in text_batches(batches):
-            n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                raw = (x := shingles(text)).tobytes()
-                n.append(len(x))
-                a.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
-                b.append(xxhash.xxh3_64_intdigest(raw, 1) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "n_shingles", "h1", "h2"])
-
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, n_shingles long, h1 long, h2 long")
+_KEYED = "key long, note long, doc long"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc): a set seen before in the same task is left to its first document there."""
+    """A row for the set of each document (key: a hash of the set; note: -1 - (size * 2^32 + another hash)), and its keys.
+
+    A set seen before in the same task leaves its keys to its first document there.
+    """
 
     def made(batches):
         seen: set[int] = set()
         for batch in text_batches(batches):
-            docs, found = [], []
+            key, note, docs = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = shingles(text)
-                own = xxhash.xxh3_128_intdigest(x.tobytes())
-                if doc is None or not len(x) or own in seen:
-                    continue
-                if len(seen) >= SETS:
-                    seen.clear()
-                seen.add(own)
-                found.append(keys(x))
-                docs.append(np.full(len(found[-1]), doc, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(docs))], ["key", "doc"])
+                own = xxhash.xxh3_128_intdigest(x.tobytes() if len(x) else doc.to_bytes(8, "little", signed=True))
+                key.append(np.array([own >> 64], np.uint64))
+                note.append(np.array([-1 - (len(x) << 32 | own & 0xFFFFFFFF)], np.int64))
+                docs.append((doc, 1))
+                if len(x) and own not in seen:
+                    if len(seen) >= SETS:
+                        seen.clear()
+                    seen.add(own)
+                    k, w = keys(x)
+                    key.append(k)
+                    note.append(w)
+                    docs.append((doc, len(k)))
+            if key:
+                ids = np.repeat(np.array([d for d, _ in docs], np.int64), [n for _, n in docs])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(note).astype(np.int64)), pa.array(ids)], ["key", "note", "doc"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(made, _KEYED)
+
+
+def _nameless(docs: DataFrame) -> DataFrame:
+    """Rows without doc_id: their set's size, and no component."""
+
+    def made(batches):
+        for batch in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(shingles(t)) for t in batch.column(1).to_pylist()], pa.int64()), batch.column(0)], ["doc_id", "n_shingles", "component_id"])
+
+    return docs.where("doc_id is null").select("doc_id", "text").mapInArrow(made, "doc_id long, n_shingles long, component_id long")
 
-    return docs.select("doc_id", "text").mapInArrow(made, "key long, doc long")
 
+def _runs(keyed: DataFrame, hot: int = HOT) -> DataFrame:
+    """keyed with `first`, the smallest document of each run of equal sets or keys, and whether the run is longer than `hot`.
 
-def _buckets(keyed: DataFrame) -> DataFrame:
-    """(key, doc, first) of keys with several documents; first is the smallest of them."""
+    Keys that stand alone are left out; sets are not. At most `hot` rows of a run are held.
+    """
 
     def scan(batches):
-        key, first, waits = None, None, False  # of the open run: waits while it has one document
+        held, open_run = None, None  # the last run while it is short; (key, set, first) of one that is long
+        names = ["key", "note", "doc", "first", "hot"]
+
+        def put(key, note, doc, first, long, length):
+            keep = (note < 0) | (length > 1)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, note, doc, first, long)], names)
+
         for batch in batches:
-            k, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(k):
+            rows = [batch.column(k).to_numpy() for k in range(3)]
+            if held is not None:
+                rows = [np.r_[h, x] for h, x in zip(held, rows, strict=True)]
+            key, note, doc = rows
+            if not len(key):
                 continue
-            new = np.r_[key is None or k[0] != key, k[1:] != k[:-1]]
-            run = np.cumsum(new) - 1  # -1 continues the open run
-            starts = np.flatnonzero(new)
-            firsts = np.where(run < 0, first if first is not None else 0, d[starts[np.maximum(run, 0)]] if len(starts) else 0)
-            ends = np.r_[starts[1:], len(k)]
-            length = ends - starts
-            keep = np.where(run < 0, True, np.r_[length, 0][np.maximum(run, 0)] > 1)
-            fresh = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
-            out_k, out_d, out_f = k[keep & fresh], d[keep & fresh], firsts[keep & fresh]
-            if waits and (run < 0).any():
-                out_k, out_d, out_f = np.r_[key, out_k], np.r_[first, out_d], np.r_[first, out_f]
-            if len(starts):
-                key, first, waits = k[-1], d[starts[-1]], length[-1] == 1
+            own = np.minimum(note, 0)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+            length = np.diff(np.r_[starts, len(key)])
+            first, long = doc[starts], length > hot
+            if open_run is not None and (key[0], own[0]) == open_run[:2]:
+                first[0], long[0] = open_run[2], True
+            end = len(key)
+            if long[-1]:
+                held, open_run = None, (key[-1], own[-1], first[-1])
             else:
-                waits = False
-            yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_d), pa.array(out_f)], ["key", "doc", "first"])
+                end, open_run = starts[-1], None
+                held = [x[end:] for x in rows]
+            spread = np.repeat(np.arange(len(starts)), length)[:end]
+            yield put(*(x[:end] for x in rows), first[spread], long[spread], np.where(long, hot + 1, length)[spread])
+        if held is not None:
+            n = len(held[0])
+            yield put(*held, np.full(n, held[2][0]), np.zeros(n, bool), np.full(n, n))
 
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(scan, "key long, doc long, first long")
+    return keyed.repartition(n, "key").sortWithinPartitions("key", F.least("note", F.lit(0)), "doc").mapInArrow(scan, f"{_KEYED}, first long, hot boolean")
+
+
+def _allocated(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc, band, count, hot) of the keys that are worth a look, and (doc, band, spare, lost) of their documents.
+
+    Sets that are similar share keys whose counts exceed the spare count of either, so a document that
+    shares less in a band meets nobody there and leaves. A long bucket costs most and says least: a
+    document whose spare count covers all of its keys in long buckets (lost) leaves those; what it
+    must meet, it meets elsewhere.
+    """
+    bits = lambda low, most: F.shiftright("note", low).bitwiseAND(most)
+    rows = runs.where("note >= 0").select("key", "doc", "hot", bits(20, 255).alias("band"), bits(2, 0xFFFF).alias("spare"), bits(0, 3).alias("count"))
+    own = rows.groupBy("doc", "band").agg(F.sum("count").alias("shared"), F.sum(F.when(F.col("hot"), F.col("count")).otherwise(0)).alias("lost"), F.min("spare").alias("spare"), F.max("count").alias("most"))
+    own = own.where("shared > spare").select("doc", "band", "spare", "lost", F.expr("lost > spare or most > 2").alias("all"))
+    left = written(rows.drop("spare").join(own, ["doc", "band"]).where("not hot or all"))
+    return left.select("key", "doc", "band", "count", "hot"), written(left.groupBy("doc", "band").agg(F.max("spare").alias("spare"), F.max("lost").alias("lost")))
+
+
+def _sharing(met: DataFrame, own: DataFrame, lost: bool) -> DataFrame:
+    """(a, b, n) of pairs (a, b, band, n) that share as much in a band as similar sets must; without lost, nothing was given up."""
+    need = F.col("spare") + 1 - (F.col("lost") if lost else F.lit(0))
+    side = lambda c: own.select(F.col("doc").alias(c), "band", need.alias(f"need_{c}"))
+    enough = met.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"]).where("n >= need_a and n >= need_b")
+    return enough.groupBy("a", "b").agg(F.max("n").alias("n"))
+
+
+def _cold_pairs(left: DataFrame) -> DataFrame:
+    """(a, b, band, n): what pairs share in buckets of at most HOT documents."""
+    buckets = left.where("not hot").groupBy("key", "band").agg(F.collect_list(F.struct("doc", "count")).alias("docs")).where("size(docs) > 1")
+    pairs = buckets.select("band", "docs", F.explode("docs").alias("x")).select("band", "x", F.explode(F.filter("docs", lambda y: y["doc"] < F.col("x.doc"))).alias("y"))
+    return pairs.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), "band").agg(F.sum(F.greatest("x.count", "y.count")).alias("n"))
+
+
+def _stars(hot: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b, n): members of long buckets and their heads, the members with most keys in long buckets: originals, rather than copies."""
+    head = F.max(F.struct("lost", (-F.col("doc")).alias("doc")))
+    heads = hot.join(own, ["doc", "band"]).groupBy("key").agg((-head.getField("doc")).alias("b"))
+    return hot.join(heads, "key").where("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("n"))
 
 
 def _places(ids: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
@@ -221,7 +307,7 @@ def _places(ids: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, packed) of the documents in `wanted` and a few more: a filter of fixed size travels, not the list."""
+    """(doc, packed, size, bitmap words) of the documents in `wanted` and a few more: a filter of fixed size travels, not the list."""
 
     def mark(batches):
         bits = np.zeros(FILTER_BITS, bool)
@@ -243,13 +329,33 @@ def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if hit.any():
                 part = batch.filter(pa.array(hit))
                 packed = [zip_.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc", "packed"])
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                words = np.stack([bitmap(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(words[:, k]) for k in range(BITMAP))], ["doc", "packed", "size", *_WORDS])
+
+    return written(docs.select("doc_id", "text").mapInArrow(pick, "doc long, packed binary, size long, " + ", ".join(f"{w} long" for w in _WORDS)))
+
+
+_WORDS = [f"w{k}" for k in range(BITMAP)]
+
+
+def _sketch(texts: DataFrame, c: str) -> DataFrame:
+    """doc, size and bitmap of the one side of a pair."""
+    return texts.select(F.col("doc").alias(c), F.col("size").alias(f"size_{c}"), *(F.col(w).alias(f"{w}_{c}") for w in _WORDS))
+
 
-    return written(docs.select("doc_id", "text").mapInArrow(pick, "doc long, packed binary"))
+def _possible(percent: int = PERCENT) -> Column:
+    """Whether sizes and bitmaps of a and b allow a link."""
+    differ = F.lit(0)
+    for w in _WORDS:
+        differ = differ + F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b")))
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    return (100 * small >= percent * large) & ((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. Pairs go to where b is; a b with many partners is copied to several tasks."""
+    """The pairs (a, b) that link: those whose bitmaps allow it go to where b is; a b with many partners is copied to several tasks."""
+    pairs = written(pairs.join(_sketch(texts, "a"), "a").join(_sketch(texts, "b"), "b").where(_possible()).select("a", "b"))
     size = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / STAR).cast("int"))
     texts = texts.select(F.col("doc"), F.col("packed"))
     members = pairs.join(size.select("b", "parts"), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
@@ -283,14 +389,15 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return out.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
 
 
-def _across(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of bucket members in different components, for buckets that have some."""
-    pairs = buckets.select(F.col("doc").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
-    open_ = _apart(pairs, found)
-    split = buckets.join(open_.withColumnsRenamed({"a": "doc", "b": "first"}), ["doc", "first"], "left_semi").select("key").distinct()
-    members = buckets.join(split, "key", "left_semi").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    left, right = members.select("key", F.col("doc").alias("a"), F.col("component").alias("of_a")), members.select("key", F.col("doc").alias("b"), F.col("component").alias("of_b"))
-    return left.join(right, "key").where("a > b and of_a <> of_b").select("a", "b").distinct()
+def _across(hot: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, band, n): what members of different components share in long buckets, for pairs whose bitmaps allow a link."""
+    members = written(hot.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("of", F.coalesce("component", "doc")).drop("component"))
+    split = members.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
+    members = members.join(split, "key", "left_semi")
+    left = members.select("key", F.col("doc").alias("a"), F.col("of").alias("of_a"), "band", "count").join(_sketch(texts, "a"), "a")
+    right = members.select("key", F.col("doc").alias("b"), F.col("of").alias("of_b"), F.col("count").alias("count_b")).join(_sketch(texts, "b"), "b")
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("a") > F.col("b")) & (F.col("of_a") != F.col("of_b")) & _possible())
+    return met.groupBy("a", "b", "band").agg(F.sum(F.greatest("count", "count_b")).alias("n"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -299,13 +406,14 @@ def classes(docs: DataFrame) -> DataFrame:
     Null or wordless text: an empty set, linked with nothing. Rows that share a doc_id are one node;
     a row without doc_id takes no part and has no component. Extra columns are not looked at.
     """
-    sets = written(_sets(docs))
-    lead = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("lead"))
-    leads = written(sets.join(lead, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("lead", "doc_id").alias("lead")))
-    buckets = written(_buckets(_keyed(docs)))
-    met = buckets.where("doc <> first").groupBy(F.col("doc").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("n"))
-    met = written(met)
-    texts = _candidate_texts(docs, buckets.select("doc").distinct())
+    runs = written(_runs(_keyed(docs)))
+    leads = runs.where("note < 0").select(F.col("doc").alias("doc_id"), F.shiftright(-1 - F.col("note"), 32).alias("n_shingles"), F.col("first").alias("lead"))
+    left, own = _allocated(runs)
+    hot = written(left.where("hot"))
+    cold = written(_cold_pairs(left))
+    met = written(_sharing(cold, own, True).unionByName(_stars(hot, own)))
+    wanted = met.select(F.col("a").alias("doc")).union(met.select("b")).union(hot.select("doc")).distinct()
+    texts = _candidate_texts(docs, wanted)
 
     def joined(*links: DataFrame) -> DataFrame:
         """Components of the links so far and of equal sets."""
@@ -319,8 +427,9 @@ def classes(docs: DataFrame) -> DataFrame:
     found = joined(*links)
     links.append(_verified(written(_apart(met.select("a", "b"), found)), texts))
     found = joined(*links)
-    rest = _across(buckets, found).join(met.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _across(hot, found, texts).unionByName(_apart(cold, found)).groupBy("a", "b", "band").agg(F.sum("n").alias("n"))
+    rest = _sharing(rest, own, False).select("a", "b").join(met.select("a", "b"), ["a", "b"], "left_anti")
     links.append(_verified(written(rest), texts))
     found = joined(*links)
-    out = sets.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = leads.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.unionByName(_nameless(docs))
