@@ -98,11 +98,13 @@ def _candidates(placed: DataFrame) -> DataFrame:
         "row", "doc_id", "kind", "what", "left", F.when(is_base, F.col("start")).otherwise(F.col("start") + head).alias("start"), F.when(is_base, F.col("end")).otherwise(F.greatest(F.col("start") + head, F.col("end") - tail)).alias("end")
     )
     inside = Window.partitionBy("row").orderBy("start", "end", "kind")
-    past = F.max(F.when(is_base, F.struct("end", "kind"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.min(F.when(is_base, F.struct("start", "kind"))).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    past = F.max(F.when(is_base, F.struct("end", "kind", "what"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(is_base, F.struct("start", "kind", "what"))).over(inside.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumn("past", past).withColumn("ahead", ahead).where(F.col("kind") == len(KINDS))
-    seed = F.when(F.col("past.end") > F.col("start"), F.col("past.kind")).when(F.col("ahead.start") < F.col("end"), F.col("ahead.kind"))
-    value = F.regexp_replace("what", r"^[^A-Za-z0-9@+(]*|[^A-Za-z0-9@]*$", "")
+    in_past, in_ahead = F.col("past.end") > F.col("start"), F.col("ahead.start") < F.col("end")
+    seed = F.when(in_past, F.col("past.kind")).when(in_ahead, F.col("ahead.kind"))
+    # A seed's instance is the whole base span, which may have several tokens; only the first has words before it.
+    value = F.when(in_past, F.col("past.what")).when(in_ahead, F.col("ahead.what")).otherwise(F.regexp_replace("what", r"^[^A-Za-z0-9@+(]*|[^A-Za-z0-9@]*$", ""))
     words = F.regexp_extract(F.lower("left"), r"(\S+)\s+(\S+)\s*$", 0)
     pattern = F.regexp_replace(F.trim(words), r"\s+", " ")
     return rows.select("row", "doc_id", "start", "end", F.lower(value).alias("value"), pattern.alias("pattern"), seed.alias("seed")).where("end > start and pattern <> ''")
