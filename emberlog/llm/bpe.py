@@ -17,7 +17,6 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
