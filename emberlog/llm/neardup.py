@@ -12,7 +12,7 @@ another, so that no key stands for "nothing". Every set emits its keys for its o
 larger bands that hold sets similar to it.
 
 Sets that meet under a key are candidates. They are verified exactly, but not all pairs of a bucket:
-pairs that share fewer keys than similar sets must are out; of the others, each document is held first
+pairs that share fewer keys than similar sets must, or whose bitmaps differ in more bits, are out; of the others, each document is held first
 against the one it shares most with (in long buckets: the bucket's head), then against the others it is
 not yet connected to; and last, for long buckets whose members still lie in different components, against
 members of other components. A pair never verified is connected already, so components
@@ -42,7 +42,7 @@ WIDTH, CHANCE, COMMON = 1.25, 0.5, 0.3
 #: Partitions of the universe to try for sets with empty segments; words and sets that a worker remembers.
 SEEDS, WORDS, SETS = 8, 250_000, 200_000
 #: Bits of the filter of candidate documents: what it lets through wrongly costs time only. Members of a star verified by one task.
-FILTER_BITS, STAR = 1 << 23, 2000
+FILTER_BITS, STAR = 1 << 23, 250
 #: Documents under a key beyond which it costs too much to keep where it can be done without.
 HOT = 10
 #: 64-bit words of the parity bitmap of a set.
@@ -220,7 +220,7 @@ def _nameless(docs: DataFrame) -> DataFrame:
 
 
 def _runs(keyed: DataFrame, hot: int = HOT) -> DataFrame:
-    """keyed with `first`, the smallest document of each run of equal sets or keys, and whether the run is longer than `hot`.
+    """keyed with `first`, the smallest document of each run of equal sets, and whether a run of equal keys is longer than `hot`.
 
     Keys that stand alone are left out; sets are not. At most `hot` rows of a run are held.
     """
@@ -231,7 +231,8 @@ def _runs(keyed: DataFrame, hot: int = HOT) -> DataFrame:
 
         def put(key, note, doc, first, long, length):
             keep = (note < 0) | (length > 1)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, note, doc, first, long)], names)
+            first = pa.array(first[keep], mask=note[keep] >= 0)  # for sets only
+            return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(note[keep]), pa.array(doc[keep]), first, pa.array(long[keep])], names)
 
         for batch in batches:
             rows = [batch.column(k).to_numpy() for k in range(3)]
@@ -262,20 +263,18 @@ def _runs(keyed: DataFrame, hot: int = HOT) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", F.least("note", F.lit(0)), "doc").mapInArrow(scan, f"{_KEYED}, first long, hot boolean")
 
 
-def _allocated(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, doc, band, count, hot) of the keys that are worth a look, and (doc, band, spare, lost) of their documents.
+def _allocated(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keys in short buckets and in long ones, both (key, doc, band, count), and (doc, band, spare, lost) of all documents.
 
-    Sets that are similar share keys whose counts exceed the spare count of either, so a document that
-    shares less in a band meets nobody there and leaves. A long bucket costs most and says least: a
-    document whose spare count covers all of its keys in long buckets (lost) leaves those; what it
-    must meet, it meets elsewhere.
+    A long bucket costs most and says least. A document whose spare count covers all of its keys in
+    long buckets (lost) leaves those; what it must meet, it meets elsewhere. The others stay.
     """
-    bits = lambda low, most: F.shiftright("note", low).bitwiseAND(most)
+    bits = lambda low, most: F.shiftright("note", low).bitwiseAND(most).cast("int")
     rows = runs.where("note >= 0").select("key", "doc", "hot", bits(20, 255).alias("band"), bits(2, 0xFFFF).alias("spare"), bits(0, 3).alias("count"))
-    own = rows.groupBy("doc", "band").agg(F.sum("count").alias("shared"), F.sum(F.when(F.col("hot"), F.col("count")).otherwise(0)).alias("lost"), F.min("spare").alias("spare"), F.max("count").alias("most"))
-    own = own.where("shared > spare").select("doc", "band", "spare", "lost", F.expr("lost > spare or most > 2").alias("all"))
-    left = written(rows.drop("spare").join(own, ["doc", "band"]).where("not hot or all"))
-    return left.select("key", "doc", "band", "count", "hot"), written(left.groupBy("doc", "band").agg(F.max("spare").alias("spare"), F.max("lost").alias("lost")))
+    own = rows.groupBy("doc", "band").agg(F.sum(F.when(F.col("hot"), F.col("count")).otherwise(0)).alias("lost"), F.min("spare").alias("spare"), F.max("count").alias("most"))
+    own = written(own.select("doc", "band", "spare", "lost", F.expr("lost > spare or most > 2").alias("all")))
+    hot = rows.where("hot").join(own.where("all"), ["doc", "band"], "left_semi")
+    return rows.where("not hot").select("key", "doc", "band", "count"), written(hot.select("key", "doc", "band", "count")), own
 
 
 def _sharing(met: DataFrame, own: DataFrame, lost: bool) -> DataFrame:
@@ -286,9 +285,10 @@ def _sharing(met: DataFrame, own: DataFrame, lost: bool) -> DataFrame:
     return enough.groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
-def _cold_pairs(left: DataFrame) -> DataFrame:
+def _cold_pairs(cold: DataFrame) -> DataFrame:
     """(a, b, band, n): what pairs share in buckets of at most HOT documents."""
-    buckets = left.where("not hot").groupBy("key", "band").agg(F.collect_list(F.struct("doc", "count")).alias("docs")).where("size(docs) > 1")
+    together = cold.repartition(int(cold.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    buckets = together.groupBy("key", "band").agg(F.collect_list(F.struct("doc", "count")).alias("docs")).where("size(docs) > 1")
     pairs = buckets.select("band", "docs", F.explode("docs").alias("x")).select("band", "x", F.explode(F.filter("docs", lambda y: y["doc"] < F.col("x.doc"))).alias("y"))
     return pairs.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), "band").agg(F.sum(F.greatest("x.count", "y.count")).alias("n"))
 
@@ -408,9 +408,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     runs = written(_runs(_keyed(docs)))
     leads = runs.where("note < 0").select(F.col("doc").alias("doc_id"), F.shiftright(-1 - F.col("note"), 32).alias("n_shingles"), F.col("first").alias("lead"))
-    left, own = _allocated(runs)
-    hot = written(left.where("hot"))
-    cold = written(_cold_pairs(left))
+    cold, hot, own = _allocated(runs)
+    cold = written(_cold_pairs(cold))
     met = written(_sharing(cold, own, True).unionByName(_stars(hot, own)))
     wanted = met.select(F.col("a").alias("doc")).union(met.select("b")).union(hot.select("doc")).distinct()
     texts = _candidate_texts(docs, wanted)
