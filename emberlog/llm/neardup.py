@@ -46,7 +46,7 @@ FILTER_BITS, STAR = 1 << 23, 250
 #: Documents under a key beyond which it costs too much to keep where it can be done without.
 HOT = 10
 #: 64-bit words of the parity bitmap of a set.
-BITMAP = 16
+BITMAP = 8
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -264,39 +264,46 @@ def _runs(keyed: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def _allocated(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Keys in short buckets and in long ones, both (key, doc, band, count), and (doc, band, spare, lost) of all documents.
+    """Keys in short buckets and in long ones, both (key, doc, band, spare, count), and (doc, band, lost) of documents in long ones.
 
     A long bucket costs most and says least. A document whose spare count covers all of its keys in
     long buckets (lost) leaves those; what it must meet, it meets elsewhere. The others stay.
     """
     bits = lambda low, most: F.shiftright("note", low).bitwiseAND(most).cast("int")
     rows = runs.where("note >= 0").select("key", "doc", "hot", bits(20, 255).alias("band"), bits(2, 0xFFFF).alias("spare"), bits(0, 3).alias("count"))
-    own = rows.groupBy("doc", "band").agg(F.sum(F.when(F.col("hot"), F.col("count")).otherwise(0)).alias("lost"), F.min("spare").alias("spare"), F.max("count").alias("most"))
-    own = written(own.select("doc", "band", "spare", "lost", F.expr("lost > spare or most > 2").alias("all")))
-    hot = rows.where("hot").join(own.where("all"), ["doc", "band"], "left_semi")
-    return rows.where("not hot").select("key", "doc", "band", "count"), written(hot.select("key", "doc", "band", "count")), own
+    hot = rows.where("hot").drop("hot")
+    own = written(hot.groupBy("doc", "band").agg(F.sum("count").alias("lost"), F.min("spare").alias("spare"), F.max("count").alias("most")))
+    stay = own.where("lost > spare or most > 2").select("doc", "band")
+    return rows.where("not hot").drop("hot"), written(hot.join(stay, ["doc", "band"], "left_semi")), own.select("doc", "band", "lost")
+
+
+def _sharing(met: DataFrame, own: DataFrame | None) -> DataFrame:
+    """(a, b, n) of pairs (a, b, band, spare_a, spare_b, n) that share as much in a band as similar sets must; own: what was given up."""
+    if own is not None:
+        side = lambda c: own.select(F.col("doc").alias(c), "band", F.col("lost").alias(f"lost_{c}"))
+        met = met.join(side("a"), ["a", "band"], "left").join(side("b"), ["b", "band"], "left")
+    lost = lambda c: F.coalesce(f"lost_{c}", F.lit(0)) if own is not None else F.lit(0)
+    enough = met.where((F.col("n") > F.col("spare_a") - lost("a")) & (F.col("n") > F.col("spare_b") - lost("b")))
+    return enough.groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
-def _sharing(met: DataFrame, own: DataFrame, lost: bool) -> DataFrame:
-    """(a, b, n) of pairs (a, b, band, n) that share as much in a band as similar sets must; without lost, nothing was given up."""
-    need = F.col("spare") + 1 - (F.col("lost") if lost else F.lit(0))
-    side = lambda c: own.select(F.col("doc").alias(c), "band", need.alias(f"need_{c}"))
-    enough = met.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"]).where("n >= need_a and n >= need_b")
-    return enough.groupBy("a", "b").agg(F.max("n").alias("n"))
+def _summed(pairs: DataFrame) -> DataFrame:
+    """(a, b, band, spare_a, spare_b, n) over the keys that pairs share."""
+    return pairs.groupBy("a", "b", "band").agg(F.min("spare_a").alias("spare_a"), F.min("spare_b").alias("spare_b"), F.sum("n").alias("n"))
 
 
 def _cold_pairs(cold: DataFrame) -> DataFrame:
-    """(a, b, band, n): what pairs share in buckets of at most HOT documents."""
+    """What pairs share in buckets of at most HOT documents."""
     together = cold.repartition(int(cold.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    buckets = together.groupBy("key", "band").agg(F.collect_list(F.struct("doc", "count")).alias("docs")).where("size(docs) > 1")
+    buckets = together.groupBy("key", "band").agg(F.collect_list(F.struct("doc", "spare", "count")).alias("docs")).where("size(docs) > 1")
     pairs = buckets.select("band", "docs", F.explode("docs").alias("x")).select("band", "x", F.explode(F.filter("docs", lambda y: y["doc"] < F.col("x.doc"))).alias("y"))
-    return pairs.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), "band").agg(F.sum(F.greatest("x.count", "y.count")).alias("n"))
+    return _summed(pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), "band", F.col("x.spare").alias("spare_a"), F.col("y.spare").alias("spare_b"), F.greatest("x.count", "y.count").alias("n")))
 
 
 def _stars(hot: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b, n): members of long buckets and their heads, the members with most keys in long buckets: originals, rather than copies."""
     head = F.max(F.struct("lost", (-F.col("doc")).alias("doc")))
-    heads = hot.join(own, ["doc", "band"]).groupBy("key").agg((-head.getField("doc")).alias("b"))
+    heads = hot.select("key", "doc", "band").join(own, ["doc", "band"]).groupBy("key").agg((-head.getField("doc")).alias("b"))
     return hot.join(heads, "key").where("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("n"))
 
 
@@ -394,10 +401,10 @@ def _across(hot: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     members = written(hot.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("of", F.coalesce("component", "doc")).drop("component"))
     split = members.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
     members = members.join(split, "key", "left_semi")
-    left = members.select("key", F.col("doc").alias("a"), F.col("of").alias("of_a"), "band", "count").join(_sketch(texts, "a"), "a")
-    right = members.select("key", F.col("doc").alias("b"), F.col("of").alias("of_b"), F.col("count").alias("count_b")).join(_sketch(texts, "b"), "b")
+    side = lambda c, *more: members.select("key", F.col("doc").alias(c), F.col("of").alias(f"of_{c}"), F.col("spare").alias(f"spare_{c}"), F.col("count").alias(f"count_{c}"), *more).join(_sketch(texts, c), c)
+    left, right = side("a", "band"), side("b")
     met = left.join(right, (left["key"] == right["key"]) & (F.col("a") > F.col("b")) & (F.col("of_a") != F.col("of_b")) & _possible())
-    return met.groupBy("a", "b", "band").agg(F.sum(F.greatest("count", "count_b")).alias("n"))
+    return _summed(met.select("a", "b", "band", "spare_a", "spare_b", F.greatest("count_a", "count_b").alias("n")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -410,7 +417,7 @@ def classes(docs: DataFrame) -> DataFrame:
     leads = runs.where("note < 0").select(F.col("doc").alias("doc_id"), F.shiftright(-1 - F.col("note"), 32).alias("n_shingles"), F.col("first").alias("lead"))
     cold, hot, own = _allocated(runs)
     cold = written(_cold_pairs(cold))
-    met = written(_sharing(cold, own, True).unionByName(_stars(hot, own)))
+    met = written(_sharing(cold, own).unionByName(_stars(hot, own)))
     wanted = met.select(F.col("a").alias("doc")).union(met.select("b")).union(hot.select("doc")).distinct()
     texts = _candidate_texts(docs, wanted)
 
@@ -426,8 +433,7 @@ def classes(docs: DataFrame) -> DataFrame:
     found = joined(*links)
     links.append(_verified(written(_apart(met.select("a", "b"), found)), texts))
     found = joined(*links)
-    rest = _across(hot, found, texts).unionByName(_apart(cold, found)).groupBy("a", "b", "band").agg(F.sum("n").alias("n"))
-    rest = _sharing(rest, own, False).select("a", "b").join(met.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _sharing(_summed(_across(hot, found, texts).unionByName(_apart(cold, found))), None).select("a", "b").join(met.select("a", "b"), ["a", "b"], "left_anti")
     links.append(_verified(written(rest), texts))
     found = joined(*links)
     out = leads.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
