@@ -2,14 +2,16 @@
 
 Each text gives a vector of transformed statistics. For each group of texts a minimum-covariance-
 determinant estimate is made from all of its rows: starting from medians and absolute deviations,
-the three quarters of the rows that lie nearest are averaged again and again (concentration steps);
-every step is one aggregation over the groups. Rows whose Mahalanobis distance from their group's
+the half of the rows that lie nearest is averaged again and again (concentration steps), and at last
+all rows within the reach of nearly all normal ones (reweighting); every step is one aggregation over
+the groups, and junk of up to nearly half of a group's rows has no part in its estimate. Rows whose Mahalanobis distance from their group's
 estimate is beyond the cut are rejected. A group is a language and source, or for small ones the
 language's other sources, or the rest; a group that is still too small judges nothing.
 """
 
 from __future__ import annotations
 
+import math
 import operator
 import re
 
@@ -22,8 +24,8 @@ from emberlog.llm.bpe import text_batches
 from emberlog.llm.common import written
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Share of rows in the robust core, concentration steps, rows that a group needs, the cut on the squared distance.
-CORE, STEPS, GROUP_ROWS, CUT = 0.75, 3, 80, 60.0
+#: Share of rows in the robust core, concentration steps, share of normal rows that reweighting takes, rows that a group needs, the cut on the squared distance.
+CORE, STEPS, REWEIGHTED, GROUP_ROWS, CUT = 0.5, 3, 0.975, 80, 60.0
 #: Groups whose estimates (some 250 bytes each) are broadcast; beyond, parts into which a group is spread.
 BROADCAST_GROUPS, SALTS = 10_000, 32
 #: Characters that count as symbols.
@@ -186,22 +188,29 @@ def outliers(rows: DataFrame, core: float = CORE, steps: int = STEPS, least: int
         # The core's covariance is too small by a factor that holds for normal vectors.
         inner = _with(far, reach, ["g"], groups).where(F.col("distance") <= F.col("reach"))
         shape = written(_inverted(_moments(inner, consistency(core, len(VECTOR))), groups))
+    near = _with(own, shape, ["g"], groups).where(_distance() <= quantile(REWEIGHTED, len(VECTOR)))
+    shape = written(_inverted(_moments(near, consistency(REWEIGHTED, len(VECTOR))), groups))
     judged = _with(rows, shape, ["g"], groups, "left").withColumn("distance", F.when(F.col("judged"), _distance()))
     return judged.drop("g", *(f"c_{x}" for x in VECTOR), *(f"p_{a}_{b}" for a, b in PAIRS))
 
 
-def consistency(core: float, p: int) -> float:
-    """core / P(chi2(p + 2) <= q) with q the core quantile of chi2(p), for even p in closed form."""
-    import math
+def _below(x: float, k: int) -> float:
+    """P(chi2(k) <= x) for even k in closed form."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(k // 2))
 
-    def below(x: float, k: int) -> float:
-        return 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(k // 2))
 
+def quantile(share: float, p: int) -> float:
+    """The quantile of chi2(p), for even p."""
     low, high = 0.0, 200.0
     for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if below(mid, p) < core else (low, mid)
-    return core / below(low, p + 2)
+        low, high = (mid, high) if _below(mid, p) < share else (low, mid)
+    return low
+
+
+def consistency(core: float, p: int) -> float:
+    """core / P(chi2(p + 2) <= q) with q the core quantile of chi2(p), for even p."""
+    return core / _below(quantile(core, p), p + 2)
 
 
 def judge(docs: DataFrame, cut: float = CUT, key: str = "doc_id") -> DataFrame:

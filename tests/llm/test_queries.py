@@ -209,6 +209,17 @@ def test_outliers(spark):
     assert all(verdict[k] for k in range(400)) and not any(verdict[k] for k in range(400, 440))
 
 
+@pytest.mark.parametrize("share", [0.3, 0.45])
+def test_outliers_of_a_skewed_source(spark, share):
+    """Junk of nearly half a group is rejected, and the clean rest stays."""
+    r = random.Random(14)
+    texts = [" ".join(r.choice("lorem ipsum dolor sit amet consectetur elit sed".split()) + str(r.randrange(99)) for _ in range(r.randrange(40, 400))) for _ in range(400)]
+    junk = int(400 * share)
+    rows = [(k, " ".join(w + "***" for w in t.split()) if k < junk else t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    verdict = {x.doc_id: x.kept for x in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
+    assert not any(verdict[k] for k in range(junk)) and all(verdict[k] for k in range(junk, 400))
+
+
 def test_slot_map_versions(spark, tmp_path):
     path = str(tmp_path / "maps")
     first = shards.SlotMap.even(3, 12)
