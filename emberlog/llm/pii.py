@@ -1,7 +1,8 @@
 """Personal data in texts: base patterns, and identifiers found by bootstrapped contexts. DataFrame operations only.
 
 Base spans come from one regular expression for each kind and a check of what matched. Every token
-with a digit or an at sign is a candidate; its two words before are its pattern. Candidates that
+with a digit or an at sign is a candidate; its two words before are its pattern, where a candidate
+before stands as a mark, and so does the start of the text. Candidates that
 overlap a base span are seeds. Seeds and candidates form a bipartite graph of patterns and
 instances: a pattern is as good as the share of its instances that are known, an instance as the
 noisy-or of its patterns, and the scores are passed to and fro a few times. Candidates of a
@@ -29,6 +30,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: The start of a text stands for the words that it lacks.
+START = " <start> <start> "
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: What an added identifier of a kind must look like, with the signs around it taken off.
 SHAPES = {
@@ -65,12 +68,22 @@ def _found(text: Column, kind: int, pattern: str, context: bool = False) -> Colu
     """array<struct<kind, i, pre, what, left>> of a pattern's matches: pre is the text's length since the last match."""
     what = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    left = (lambda p: F.right(p, F.lit(80))) if context else (lambda p: F.lit(""))
-    one = lambda w, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(between, i)).alias("pre"), w.alias("what"), left(F.get(between, i)).alias("left")
+    left = (lambda p: F.right(F.rtrim(p, F.lit(" \t\n\x0b\f\r")), F.lit(80))) if context else (lambda p: F.lit(""))
+    # Zipped, so that the text is split once and not for every match.
+    one = lambda z, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("i"), F.length(z["1"]).alias("pre"), z["0"].alias("what"), left(z["1"]).alias("left")
     )
     kinds = "array<struct<kind:int,i:int,pre:int,what:string,left:string>>"
-    return F.when(F.size(what) > 0, F.transform(what, one)).otherwise(F.array()).cast(kinds)
+    matches = F.filter(F.transform(F.arrays_zip(what, between), one), lambda m: m["what"].isNotNull())
+    return F.when(F.size(what) > 0, matches).otherwise(F.array()).cast(kinds)
+
+
+def _context() -> Column:
+    """What stands before a candidate: the text since the last one, and before that marks of the last two and the text between them."""
+    order = Window.partitionBy("row", "kind").orderBy("i")
+    last = lambda c, k: F.lag(c, k).over(order)
+    mark = lambda k: F.when(last("what", k).isNull(), F.lit(START)).when(last("what", k).contains("@"), F.lit(" <at> ")).otherwise(F.lit(" <num> "))
+    return F.when(F.col("kind") == len(KINDS), F.concat(mark(2), F.coalesce(last("left", 1), F.lit("")), mark(1), "left")).otherwise(F.lit(""))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -82,7 +95,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     rows = rows.select("row", "doc_id", F.explode(F.concat(nothing, *found)).alias("m")).select("row", "doc_id", "m.*")
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum(F.col("pre") + F.length("what")).over(before) - F.length("what")
-    rows = rows.repartition("row").withColumn("start", start)
+    rows = rows.repartition("row").withColumn("start", start).withColumn("left", _context())
     checked = F.lit(True)
     for k, name in enumerate(KINDS):
         checked = F.when(F.col("kind") == k, valid(name, F.col("what"))).otherwise(checked)
@@ -95,19 +108,20 @@ def _candidates(placed: DataFrame) -> DataFrame:
     tail = F.length(F.regexp_extract("what", r"[^A-Za-z0-9@]*$", 0))
     is_base = F.col("kind").between(0, len(KINDS) - 1)
     rows = placed.where("kind >= 0").select(
-        "row", "doc_id", "kind", "what", "left", F.when(is_base, F.col("start")).otherwise(F.col("start") + head).alias("start"), F.when(is_base, F.col("end")).otherwise(F.greatest(F.col("start") + head, F.col("end") - tail)).alias("end")
+        "row", "doc_id", "kind", "what", "left", F.col("start").alias("at"), F.when(is_base, F.col("start")).otherwise(F.col("start") + head).alias("start"), F.when(is_base, F.col("end")).otherwise(F.greatest(F.col("start") + head, F.col("end") - tail)).alias("end")
     )
     inside = Window.partitionBy("row").orderBy("start", "end", "kind")
-    past = F.max(F.when(is_base, F.struct("end", "kind", "what"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    past = F.max(F.when(is_base, F.struct("end", "kind", "what", "start"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.min(F.when(is_base, F.struct("start", "kind", "what"))).over(inside.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumn("past", past).withColumn("ahead", ahead).where(F.col("kind") == len(KINDS))
     in_past, in_ahead = F.col("past.end") > F.col("start"), F.col("ahead.start") < F.col("end")
     seed = F.when(in_past, F.col("past.kind")).when(in_ahead, F.col("ahead.kind"))
-    # A seed's instance is the whole base span, which may have several tokens; only the first has words before it.
+    # A seed's instance is the whole base span, which may have several tokens; only the first has the span's words before it.
+    rows = rows.where(~F.coalesce(in_past & (F.col("past.start") < F.col("at")), F.lit(False)))
     value = F.when(in_past, F.col("past.what")).when(in_ahead, F.col("ahead.what")).otherwise(F.regexp_replace("what", r"^[^A-Za-z0-9@+(]*|[^A-Za-z0-9@]*$", ""))
     words = F.regexp_extract(F.lower("left"), r"(\S+)\s+(\S+)\s*$", 0)
     pattern = F.regexp_replace(F.trim(words), r"\s+", " ")
-    return rows.select("row", "doc_id", "start", "end", F.lower(value).alias("value"), pattern.alias("pattern"), seed.alias("seed")).where("end > start and pattern <> ''")
+    return rows.select("row", "doc_id", "start", "end", F.lower(value).alias("value"), pattern.alias("pattern"), seed.alias("seed")).where("end > start")
 
 
 def scored_patterns(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:

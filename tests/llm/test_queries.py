@@ -199,6 +199,17 @@ def test_bootstrapped_contexts(spark):
     assert hidden[100] == "and do call me at <PHONE> then" and hidden[0] == "please call me at <PHONE> soon" and hidden[200] == rows[38][1]
 
 
+def test_contexts_beside_other_candidates(spark):
+    """An identifier within two words after another candidate, or at the start of a text, is found under its pattern."""
+    rows = [(k, f"Email: a{k}@x.com Phone: +1 234 555 0{k:03d} and") for k in range(20)] + [(50 + k, f"Phone: +1 234 555 1{k:03d} and") for k in range(20)]
+    rows += [(100, "Email: b@x.com Phone: 555-123-4567 and"), (101, "Phone: 555-123-4568 and"), (102, "the Parts: 555-123-4569 and")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {x.doc_id: x.spans for x in pii.digests(table).collect()}
+    assert found[100] == "email:7:14,phone:22:34" and found[101] == "phone:7:19" and found[102] == ""
+    hidden = {x.doc_id: x.text for x in pii.masked(table).collect()}
+    assert hidden[100] == "Email: <EMAIL> Phone: <PHONE> and" and hidden[101] == "Phone: <PHONE> and"
+
+
 def test_outliers(spark):
     """In a large clean group, junk of several kinds is rejected and clean texts stay."""
     r = random.Random(13)
