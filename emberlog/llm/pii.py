@@ -33,6 +33,14 @@ BASE = {
 #: The start of a text stands for the words that it lacks.
 START = " <start> <start> "
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Cards and phones may run over single blanks and brackets between tokens; the longest run that ends with a token counts.
+_HEAD, _TAIL = r"^[^A-Za-z0-9@+(]*+", r"(?=[^A-Za-z0-9@\s]*(?:\s|$))"
+RUNS = {
+    "card": rf"{_HEAD}([0-9](?:[\x20-]?[0-9]){{11,18}}){_TAIL}",
+    "phone": rf"{_HEAD}(\(?[0-9](?:[().-]{{0,2}}(?:\x20[().-]{{0,2}}){{0,2}}[0-9]){{6,14}}){_TAIL}",
+}
+#: What is tied to the token before it (by the gap and the token), and tokens of the longest run after its first: one digit each.
+TIE, TIED, RUN_TOKENS = r"^\x20(?:[().-]{1,2}\x20)?$", r"^[().-]{0,2}[0-9][0-9().-]*[^A-Za-z0-9@]*$", 18
 #: What an added identifier of a kind must look like, with the signs around it taken off.
 SHAPES = {
     "email": r"^[^\s@]+@+[^\s@]*[A-Za-z][^\s@]*$",
@@ -65,15 +73,16 @@ def valid(kind: str, c: Column) -> Column:
 
 
 def _found(text: Column, kind: int, pattern: str, context: bool = False) -> Column:
-    """array<struct<kind, i, pre, what, left>> of a pattern's matches: pre is the text's length since the last match."""
+    """array<struct<kind, i, pre, what, left, tie>> of a pattern's matches: pre is the text's length since the last match, tie the gap if it ties both."""
     what = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     left = (lambda p: F.right(F.rtrim(p, F.lit(" \t\n\x0b\f\r")), F.lit(80))) if context else (lambda p: F.lit(""))
+    tie = (lambda p: F.regexp_extract(F.left(p, F.lit(5)), TIE, 0)) if context else (lambda p: F.lit(""))
     # Zipped, so that the text is split once and not for every match.
     one = lambda z, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(z["1"]).alias("pre"), z["0"].alias("what"), left(z["1"]).alias("left")
+        F.lit(kind).alias("kind"), i.alias("i"), F.length(z["1"]).alias("pre"), z["0"].alias("what"), left(z["1"]).alias("left"), tie(z["1"]).alias("tie")
     )
-    kinds = "array<struct<kind:int,i:int,pre:int,what:string,left:string>>"
+    kinds = "array<struct<kind:int,i:int,pre:int,what:string,left:string,tie:string>>"
     matches = F.filter(F.transform(F.arrays_zip(what, between), one), lambda m: m["what"].isNotNull())
     return F.when(F.size(what) > 0, matches).otherwise(F.array()).cast(kinds)
 
@@ -86,16 +95,24 @@ def _context() -> Column:
     return F.when(F.col("kind") == len(KINDS), F.concat(mark(2), F.coalesce(last("left", 1), F.lit("")), mark(1), "left")).otherwise(F.lit(""))
 
 
+def _runs() -> dict[str, Column]:
+    """By kind, the run that begins with a candidate, or an empty string."""
+    after = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(1, RUN_TOKENS)
+    tied = F.when((F.col("tie") != "") & F.col("what").rlike(TIED), F.concat("tie", "what")).otherwise(F.lit("\n"))
+    text = F.concat("what", F.array_join(F.collect_list(tied).over(after), ""))
+    return {f"run_{k}": F.when(F.col("kind") == len(KINDS), F.regexp_extract(text, r, 1)).otherwise(F.lit("")) for k, r in RUNS.items()}
+
+
 def _placed(docs: DataFrame) -> DataFrame:
     """Every match of every row with its place (code points), and a row of kind -1 for each row: one shuffle of small rows."""
     text = F.col("text")
-    nothing = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("pre"), F.lit("").alias("what"), F.lit("").alias("left")))
+    nothing = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("pre"), F.lit("").alias("what"), F.lit("").alias("left"), F.lit("").alias("tie")))
     found = [_found(text, k, BASE[name]) for k, name in enumerate(KINDS)] + [_found(text, len(KINDS), CANDIDATE, True)]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty().alias("text"))
     rows = rows.select("row", "doc_id", F.explode(F.concat(nothing, *found)).alias("m")).select("row", "doc_id", "m.*")
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum(F.col("pre") + F.length("what")).over(before) - F.length("what")
-    rows = rows.repartition("row").withColumn("start", start).withColumn("left", _context())
+    rows = rows.repartition("row").withColumn("start", start).withColumns({"left": _context(), **_runs()}).drop("tie")
     checked = F.lit(True)
     for k, name in enumerate(KINDS):
         checked = F.when(F.col("kind") == k, valid(name, F.col("what"))).otherwise(checked)
@@ -108,7 +125,7 @@ def _candidates(placed: DataFrame) -> DataFrame:
     tail = F.length(F.regexp_extract("what", r"[^A-Za-z0-9@]*$", 0))
     is_base = F.col("kind").between(0, len(KINDS) - 1)
     rows = placed.where("kind >= 0").select(
-        "row", "doc_id", "kind", "what", "left", F.col("start").alias("at"), F.when(is_base, F.col("start")).otherwise(F.col("start") + head).alias("start"), F.when(is_base, F.col("end")).otherwise(F.greatest(F.col("start") + head, F.col("end") - tail)).alias("end")
+        "row", "doc_id", "kind", "what", "left", *(f"run_{k}" for k in RUNS), F.col("start").alias("at"), F.when(is_base, F.col("start")).otherwise(F.col("start") + head).alias("start"), F.when(is_base, F.col("end")).otherwise(F.greatest(F.col("start") + head, F.col("end") - tail)).alias("end")
     )
     inside = Window.partitionBy("row").orderBy("start", "end", "kind")
     past = F.max(F.when(is_base, F.struct("end", "kind", "what", "start"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
@@ -118,10 +135,18 @@ def _candidates(placed: DataFrame) -> DataFrame:
     seed = F.when(in_past, F.col("past.kind")).when(in_ahead, F.col("ahead.kind"))
     # A seed's instance is the whole base span, which may have several tokens; only the first has the span's words before it.
     rows = rows.where(~F.coalesce(in_past & (F.col("past.start") < F.col("at")), F.lit(False)))
-    value = F.when(in_past, F.col("past.what")).when(in_ahead, F.col("ahead.what")).otherwise(F.regexp_replace("what", r"^[^A-Za-z0-9@+(]*|[^A-Za-z0-9@]*$", ""))
+    # A run ends before the next base span.
+    free = F.col("ahead.start") - F.col("start")
+    shorter = lambda k: F.regexp_extract(F.rtrim(F.left(f"run_{k}", free.cast("int"))), RUNS[k], 1)
+    rows = rows.withColumns({f"run_{k}": F.when(free < F.length(f"run_{k}"), shorter(k)).otherwise(F.col(f"run_{k}")) for k in RUNS})
+    token = F.regexp_replace("what", r"^[^A-Za-z0-9@+(]*|[^A-Za-z0-9@]*$", "")
+    longest = token
+    for k in RUNS:
+        longest = F.when(F.length(f"run_{k}") > F.length(longest), F.col(f"run_{k}")).otherwise(longest)
+    value = F.when(in_past, F.col("past.what")).when(in_ahead, F.col("ahead.what")).otherwise(longest)
     words = F.regexp_extract(F.lower("left"), r"(\S+)\s+(\S+)\s*$", 0)
     pattern = F.regexp_replace(F.trim(words), r"\s+", " ")
-    return rows.select("row", "doc_id", "start", "end", F.lower(value).alias("value"), pattern.alias("pattern"), seed.alias("seed")).where("end > start")
+    return rows.select("row", "doc_id", "start", "end", F.lower(value).alias("value"), F.lower(token).alias("token"), *(f"run_{k}" for k in RUNS), pattern.alias("pattern"), seed.alias("seed")).where("end > start")
 
 
 def scored_patterns(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -146,12 +171,18 @@ def scored_patterns(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def _added(candidates: DataFrame) -> DataFrame:
     """Spans (row, doc_id, kind, start, end) of unseen identifiers under high-confidence patterns."""
-    shape = F.lit(False)
+    end = F.lit(None).cast("long")
     for k, name in enumerate(KINDS):
-        shape = F.when(F.col("kind") == k, F.col("value").rlike(SHAPES[name])).otherwise(shape)
-    unseen = candidates.where("seed is null").join(scored_patterns(candidates), "pattern").where(shape)
-    best = unseen.groupBy("row", "doc_id", "start", "end").agg(F.max(F.struct("score", F.col("kind"))).alias("b"))
-    return best.select("row", "doc_id", F.col("b.kind").alias("kind"), "start", "end")
+        fits = F.when(F.col("token").rlike(SHAPES[name]), F.col("end"))
+        if name in RUNS:
+            fits = F.when(F.col(f"run_{name}") != "", F.col("start") + F.length(f"run_{name}")).otherwise(fits)
+        end = F.when(F.col("kind") == k, fits).otherwise(end)
+    unseen = candidates.where("seed is null").join(scored_patterns(candidates), "pattern").withColumn("end", end).where("end is not null")
+    best = unseen.groupBy("row", "doc_id", "start").agg(F.max(F.struct("score", "kind", "end")).alias("b")).select("row", "doc_id", "b.kind", "start", "b.end")
+    # Tokens within a run may be found by themselves, too: a span begins where the ones before it end.
+    before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    clear = best.withColumn("done", F.coalesce(F.max("end").over(before), F.lit(0))).where("end > done")
+    return clear.select("row", "doc_id", "kind", F.greatest("start", "done").alias("start"), "end")
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -210,6 +210,16 @@ def test_contexts_beside_other_candidates(spark):
     assert hidden[100] == "Email: <EMAIL> Phone: <PHONE> and" and hidden[101] == "Phone: <PHONE> and"
 
 
+def test_identifiers_of_several_tokens(spark):
+    """Phones and cards written with blanks and brackets are found as a whole; a run ends before a base span."""
+    rows = [(k, f"please call me at +1 234 555 0{k:03d} soon") for k in range(30)] + [(50 + k, f"we charge my card 411111111111{k:04d} now") for k in range(10000) if brute.luhn(f"411111111111{k:04d}")][:30]
+    cases = ["please call me at 555 123 4567 now", "call me at (030) 123 4567, or", "call me at 030 - 123 - 4567. Or", "charge my card 4111 1111 1111 1112 now", "call me at 555 1234567 now", "call me at 555 123 4567 10.0.0.1 x", "call me at 555 now", "count of parts 555 123 4567 now"]
+    table = spark.createDataFrame(rows + [(20000 + k, t) for k, t in enumerate(cases)], "doc_id bigint, text string")
+    hidden = {x.doc_id: x.text for x in pii.masked(table).collect()}
+    want = ["please call me at <PHONE> now", "call me at <PHONE>, or", "call me at <PHONE>. Or", "charge my card <CARD> now", "call me at <PHONE> now", "call me at <PHONE> <IP> x", "call me at 555 now", "count of parts 555 123 4567 now"]
+    assert [hidden[20000 + k] for k in range(len(cases))] == want
+
+
 def test_outliers(spark):
     """In a large clean group, junk of several kinds is rejected and clean texts stay."""
     r = random.Random(13)
