@@ -230,6 +230,22 @@ def test_outliers(spark):
     assert all(verdict[k] for k in range(400)) and not any(verdict[k] for k in range(400, 440))
 
 
+@pytest.mark.parametrize("kind", ["length", "symbols", "lines", "repeats", "upper", "same"])
+def test_outliers_by_one_statistic(spark, kind):
+    """A text that is extreme in one statistic only is rejected."""
+    r = random.Random(15)
+    words = lambda n: [r.choice("lorem ipsum dolor sit amet consectetur elit sed".split()) + str(r.randrange(99)) for _ in range(n)]
+    lines = lambda n: "\n".join(" ".join(words(6)) for _ in range(n))
+    long = [" ".join(words(8)) for _ in range(4)]
+    junk = {
+        "length": " ".join(w * 5 for w in words(100)), "symbols": " ".join(w + "##" for w in words(100)), "upper": lines(20).upper(),
+        "lines": "\n".join(f"{' '.join(words(8))}\nRead more" for _ in range(20)), "repeats": "\n".join([long[0] + " " + " ".join(words(28)) + " " + long[0], lines(2)]), "same": " ".join(w for w in words(60) for _ in "12"),
+    }[kind]
+    rows = [(k, lines(r.randrange(8, 40)), "en", "s", 0) for k in range(300)] + [(300, junk, "en", "s", 0)]
+    found = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
+    assert not found[300].base_failed and not found[300].kept and all(found[k].kept for k in range(300))
+
+
 @pytest.mark.parametrize("share", [0.3, 0.45])
 def test_outliers_of_a_skewed_source(spark, share):
     """Junk of nearly half a group is rejected, and the clean rest stays."""
