@@ -11,12 +11,18 @@ segments; a set with too many empty ones in one partition of the universe also t
 another, so that no key stands for "nothing". Every set emits its keys for its own band and for those
 larger bands that hold sets similar to it.
 
-Sets that meet under a key are candidates. They are verified exactly, but not all pairs of a bucket:
-pairs that share fewer keys than similar sets must, or whose bitmaps differ in more bits, are out; of the others, each document is held first
-against the one it shares most with (in long buckets: the bucket's head), then against the others it is
-not yet connected to; and last, for long buckets whose members still lie in different components, against
-members of other components. A pair never verified is connected already, so components
-are those of the complete link graph.
+Sets that meet under a key are candidates, where a bucket is short. Keys in long buckets are given
+up. A set whose counts allow that still meets all it must under its other keys; those that lack it
+are crowded, and two crowded sets meet by their rarest elements instead: similar sets share one
+of the first fifth of their elements in any common order, and rare ones first means that a passage
+shared by very many sets is no meeting place unless the sets hold little else.
+
+Candidates are verified exactly, but not all pairs of a bucket: pairs that share fewer keys than
+similar sets must, whose places and sizes exclude a link, or whose bitmaps differ in more bits, are
+out; of the others, each document is held first against the one it shares most with (in long
+buckets: the bucket's head), then against the others it is not yet connected to; and last, members of
+long buckets outside the bucket's largest component against members of other components. A
+pair never verified is connected already, so components are those of the complete link graph.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emberlog.llm.bpe import text_batches
-from emberlog.llm.common import written
+from emberlog.llm.common import key_filter, mixed, partitions, written
 from emberlog.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -41,14 +47,14 @@ SHINGLE, PERCENT = 5, 80
 WIDTH, CHANCE, COMMON = 1.25, 0.5, 0.3
 #: Partitions of the universe to try for sets with empty segments; words and sets that a worker remembers.
 SEEDS, WORDS, SETS = 8, 250_000, 200_000
-#: Bits of the filter of candidate documents: what it lets through wrongly costs time only. Members of a star verified by one task.
-FILTER_BITS, STAR = 1 << 23, 250
+#: Members of a star verified by one task; counts by which elements are ordered, and parts in which they are added.
+STAR, CELLS, PARTS = 250, 1 << 20, 64
 #: Documents under a key beyond which it costs too much to keep where it can be done without.
 HOT = 10
 #: 64-bit words of the parity bitmap of a set.
 BITMAP = 8
 
-_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_K1 = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
@@ -64,13 +70,6 @@ class _Words(dict):
 _words = _Words()
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _K2
-        x = (x ^ (x >> np.uint64(27))) * _K3
-        return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted set of hashed shingles: a-z for A-Z, words without ASCII white space; fewer words than a shingle are one."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -259,30 +258,30 @@ def _runs(keyed: DataFrame, hot: int = HOT) -> DataFrame:
             n = len(held[0])
             yield put(*held, np.full(n, held[2][0]), np.zeros(n, bool), np.full(n, n))
 
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(keyed.sparkSession)
     return keyed.repartition(n, "key").sortWithinPartitions("key", F.least("note", F.lit(0)), "doc").mapInArrow(scan, f"{_KEYED}, first long, hot boolean")
 
 
 def _allocated(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Keys in short buckets and in long ones, both (key, doc, band, spare, count), and (doc, band, lost) of documents in long ones.
+    """Keys in short buckets (key, doc, band, spare, count), (doc, band, lost) of documents in long ones, and the crowded documents.
 
-    A long bucket costs most and says least. A document whose spare count covers all of its keys in
-    long buckets (lost) leaves those; what it must meet, it meets elsewhere. The others stay.
+    A long bucket costs most and says least, so all keys in long buckets are given up. A document
+    whose spare count covers them (lost) meets what it must elsewhere. The others are crowded: two
+    similar ones of them may have no key left in common. Of equal sets the smallest document stands for all.
     """
     bits = lambda low, most: F.shiftright("note", low).bitwiseAND(most).cast("int")
     rows = runs.where("note >= 0").select("key", "doc", "hot", bits(20, 255).alias("band"), bits(2, 0xFFFF).alias("spare"), bits(0, 3).alias("count"))
-    hot = rows.where("hot").drop("hot")
-    own = written(hot.groupBy("doc", "band").agg(F.sum("count").alias("lost"), F.min("spare").alias("spare"), F.max("count").alias("most")))
-    stay = own.where("lost > spare or most > 2").select("doc", "band")
-    return rows.where("not hot").drop("hot"), written(hot.join(stay, ["doc", "band"], "left_semi")), own.select("doc", "band", "lost")
+    own = written(rows.where("hot").groupBy("doc", "band").agg(F.sum("count").alias("lost"), F.min("spare").alias("spare"), F.max("count").alias("most")))
+    leads = runs.where("note < 0").select("doc", "first")
+    crowded = written(own.where("lost > spare or most > 2").select("doc").distinct().join(leads, "doc").select(F.col("first").alias("doc")).distinct())
+    return rows.where("not hot").drop("hot"), own.select("doc", "band", "lost"), crowded
 
 
-def _sharing(met: DataFrame, own: DataFrame | None) -> DataFrame:
+def _sharing(met: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b, n) of pairs (a, b, band, spare_a, spare_b, n) that share as much in a band as similar sets must; own: what was given up."""
-    if own is not None:
-        side = lambda c: own.select(F.col("doc").alias(c), "band", F.col("lost").alias(f"lost_{c}"))
-        met = met.join(side("a"), ["a", "band"], "left").join(side("b"), ["b", "band"], "left")
-    lost = lambda c: F.coalesce(f"lost_{c}", F.lit(0)) if own is not None else F.lit(0)
+    side = lambda c: own.select(F.col("doc").alias(c), "band", F.col("lost").alias(f"lost_{c}"))
+    met = met.join(side("a"), ["a", "band"], "left").join(side("b"), ["b", "band"], "left")
+    lost = lambda c: F.coalesce(f"lost_{c}", F.lit(0))
     enough = met.where((F.col("n") > F.col("spare_a") - lost("a")) & (F.col("n") > F.col("spare_b") - lost("b")))
     return enough.groupBy("a", "b").agg(F.max("n").alias("n"))
 
@@ -294,53 +293,117 @@ def _summed(pairs: DataFrame) -> DataFrame:
 
 def _cold_pairs(cold: DataFrame) -> DataFrame:
     """What pairs share in buckets of at most HOT documents."""
-    together = cold.repartition(int(cold.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    together = cold.repartition(partitions(cold.sparkSession), "key")
     buckets = together.groupBy("key", "band").agg(F.collect_list(F.struct("doc", "spare", "count")).alias("docs")).where("size(docs) > 1")
     pairs = buckets.select("band", "docs", F.explode("docs").alias("x")).select("band", "x", F.explode(F.filter("docs", lambda y: y["doc"] < F.col("x.doc"))).alias("y"))
     return _summed(pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), "band", F.col("x.spare").alias("spare_a"), F.col("y.spare").alias("spare_b"), F.greatest("x.count", "y.count").alias("n")))
 
 
-def _stars(hot: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, b, n): members of long buckets and their heads, the members with most keys in long buckets: originals, rather than copies."""
-    head = F.max(F.struct("lost", (-F.col("doc")).alias("doc")))
-    heads = hot.select("key", "doc", "band").join(own, ["doc", "band"]).groupBy("key").agg((-head.getField("doc")).alias("b"))
-    return hot.join(heads, "key").where("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("n"))
-
-
-def _places(ids: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
-    x = ids.astype(np.int64).view(np.uint64)
-    with np.errstate(over="ignore"):
-        return np.stack([(mixed(x + np.uint64(k) * _K1) % np.uint64(bits)).astype(np.int64) for k in (1, 2, 3)])
-
-
-def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, packed, size, bitmap words) of the documents in `wanted` and a few more: a filter of fixed size travels, not the list."""
-
-    def mark(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_places(batch.column(0).to_numpy()).ravel()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    parts = wanted.select("doc").coalesce(4).mapInArrow(mark, "bits binary").collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part in parts:
-        bits |= np.frombuffer(part.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def _candidate_texts(docs: DataFrame, wanted: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(doc, crowded, packed, size, bitmap words) of the documents in `wanted` and a few more: filters of a bounded size travel, not lists."""
+    asked, dense = key_filter(wanted), key_filter(crowded)
+    shared = docs.sparkSession.sparkContext.broadcast((asked, dense))
 
     def pick(batches):
-        zip_, known = zstandard.ZstdCompressor(level=3), np.unpackbits(shared.value).astype(bool)
+        zip_, (asked, dense) = zstandard.ZstdCompressor(level=3), shared.value
         for batch in text_batches(batches):
             ids = batch.column(0).fill_null(0).to_numpy()
-            hit = known[_places(ids)].all(axis=0) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            hit = asked.known(ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             if hit.any():
                 part = batch.filter(pa.array(hit))
                 packed = [zip_.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 words = np.stack([bitmap(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(words[:, k]) for k in range(BITMAP))], ["doc", "packed", "size", *_WORDS])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(dense.known(ids[hit])), pa.array(packed, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(words[:, k]) for k in range(BITMAP))],
+                    ["doc", "crowded", "packed", "size", *_WORDS],
+                )
+
+    return written(docs.select("doc_id", "text").mapInArrow(pick, "doc long, crowded boolean, packed binary, size long, " + ", ".join(f"{w} long" for w in _WORDS)))
+
+
+def _unpacked(batch, column: int):
+    unzip = zstandard.ZstdDecompressor()
+    return [shingles(unzip.decompress(x).decode("utf-8", "surrogatepass")) for x in batch.column(column).to_pylist()]
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """About how often the elements of the sets in `texts` occur, by their top bits: CELLS counts, whatever the corpus holds."""
+    part = CELLS // PARTS
+
+    def count(batches):
+        own = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for x in _unpacked(batch, 0):
+                own += np.bincount((x >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS)
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for k in range(PARTS) if own.any() else ():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zip_.compress(own[k * part : (k + 1) * part].tobytes())], pa.binary())], ["part", "counts"])
+
+    def add(batches):
+        unzip, held = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(unzip.decompress(counts), np.int64)
+        for k, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["part", "counts"])
+
+    out, kind = np.zeros(CELLS, np.int64), "part int, counts binary"
+    for row in texts.select("packed").mapInArrow(count, kind).repartition(min(PARTS, partitions(texts.sparkSession)), "part").mapInArrow(add, kind).collect():
+        out[row.part * part : (row.part + 1) * part] = np.frombuffer(row.counts, np.int64)
+    return out
+
+
+def first_elements(elements: np.ndarray, frequency: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The set's elements, rare ones first, as far as a similar set may meet it there at first; and up to which size that other set may have.
+
+    One order for all sets: by frequency, then by value. Let e be the first element that similar sets
+    x and y share, at place i of x. Then they share no more than |x| - i elements, and must share
+    percent / (100 + percent) of |x| + |y|.
+    """
+    order = np.lexsort((elements, frequency[(elements >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)]))
+    n = len(elements)
+    most = (100 + percent) * (n - np.arange(n)) // percent - n
+    enough = 100 * most >= percent * n
+    return elements[order[enough]], most[enough]
 
-    return written(docs.select("doc_id", "text").mapInArrow(pick, "doc long, packed binary, size long, " + ", ".join(f"{w} long" for w in _WORDS)))
+
+def _entries(texts: DataFrame) -> DataFrame:
+    """(element, doc, size, most) for the first elements of every set in `texts`."""
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts))
+
+    def made(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                some = batch.slice(start, 256)
+                found = [(x, *first_elements(x, shared.value)) for x in _unpacked(some, 1)]
+                lengths = [len(e) for _, e, _ in found]
+                cols = [np.concatenate([e for _, e, _ in found]).view(np.int64), np.repeat(some.column(0).to_numpy(), lengths), np.repeat([len(x) for x, _, _ in found], lengths), np.concatenate([m for _, _, m in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["element", "doc", "size", "most"])
+
+    return texts.select("doc", "packed").mapInArrow(made, "element long, doc long, size long, most long")
+
+
+#: Whether x, the smaller set (of equal ones that of the smaller document), and y may be similar as far as places and sizes tell.
+_FIT = "(x.size < y.size or (x.size = y.size and x.doc < y.doc)) and y.size <= x.most and x.size <= y.most and 100 * x.size >= {percent} * y.size"
+
+
+def _crowded_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of crowded documents: pairs (a, b, n) met under rare elements and stars of common ones; entries under common ones, with `many` of them."""
+    entries = written(_entries(texts))
+    many = written(entries.groupBy("element").agg(F.count("*").alias("many")).where("many > 1"))
+    rare = entries.join(many.where(F.col("many") <= HOT).select("element"), "element", "left_semi")
+    fit = _FIT.format(percent=PERCENT)
+    buckets = rare.groupBy("element").agg(F.collect_list(F.struct("doc", "size", "most")).alias("docs"))
+    pairs = buckets.select("docs", F.explode("docs").alias("x")).select("x", F.explode("docs").alias("y")).where(fit)
+    common = written(entries.join(many.where(F.col("many") > HOT), "element"))
+    # The head of a long bucket: who has most elements in long ones is an original, rather than a copy.
+    held = common.groupBy("doc").agg(F.count("*").alias("held"))
+    head = F.max(F.struct("held", (-F.col("doc")).alias("doc")))
+    heads = common.select("element", "doc").join(held, "doc").groupBy("element").agg((-head.getField("doc")).alias("b"))
+    stars = common.select("element", F.col("doc").alias("a")).join(heads, "element").where("a <> b").select("a", "b")
+    near = pairs.select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b"))
+    return near.unionByName(stars).groupBy("a", "b").agg(F.count("*").alias("n")), common
 
 
 _WORDS = [f"w{k}" for k in range(BITMAP)]
@@ -384,7 +447,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(pairs.sparkSession)
     met = members.unionByName(heads).repartition(n, "b", "part").sortWithinPartitions("b", "part", "role")
     return written(met.mapInArrow(compare, "a long, b long").distinct())
 
@@ -396,15 +459,30 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return out.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
 
 
-def _across(hot: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, band, n): what members of different components share in long buckets, for pairs whose bitmaps allow a link."""
-    members = written(hot.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("of", F.coalesce("component", "doc")).drop("component"))
-    split = members.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
-    members = members.join(split, "key", "left_semi")
-    side = lambda c, *more: members.select("key", F.col("doc").alias(c), F.col("of").alias(f"of_{c}"), F.col("spare").alias(f"spare_{c}"), F.col("count").alias(f"count_{c}"), *more).join(_sketch(texts, c), c)
-    left, right = side("a", "band"), side("b")
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("a") > F.col("b")) & (F.col("of_a") != F.col("of_b")) & _possible())
-    return _summed(met.select("a", "b", "band", "spare_a", "spare_b", F.greatest("count_a", "count_b").alias("n")))
+def size_band(size: Column) -> Column:
+    """Sizes in steps of about a twentieth."""
+    return F.floor(F.log(1.05, size.cast("double"))).cast("int")
+
+
+def _across(common: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): members of long buckets in different components whose places and sizes allow a link.
+
+    Of each bucket the largest component is held against the others only, and members meet by the
+    sizes that may be similar; a long bucket is spread over tasks.
+    """
+    members = common.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("of", F.coalesce("component", "doc")).drop("component")
+    members = written(members)
+    sizes = members.groupBy("element", "of").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("element").agg(F.max(F.struct("k", "of")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("element", F.col("top.of").alias("main"))
+    members = members.join(largest, "element").withColumn("rest", F.col("of") != F.col("main")).drop("main")
+    members = written(members.withColumn("salts", F.ceil(F.col("many") / STAR).cast("int")))
+    left = members.select("element", size_band(F.col("size")).alias("size_band"), F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), F.struct("doc", "size", "most", "of").alias("x"), "rest")
+    low, high = size_band(F.ceil(F.col("size") * PERCENT / 100)), size_band(F.least("size", "most"))
+    right = members.where(high >= low).withColumn("size_band", F.explode(F.sequence(low, high))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = right.select("element", "size_band", "salt", F.struct("doc", "size", "most", "of").alias("y"), "rest")
+    on, fit = ["element", "size_band", "salt"], _FIT.format(percent=PERCENT)
+    met = left.where("rest").drop("rest").join(right.drop("rest"), on).unionByName(left.where("not rest").drop("rest").join(right.where("rest").drop("rest"), on))
+    return met.where(f"{fit} and x.of <> y.of").select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -415,11 +493,11 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     runs = written(_runs(_keyed(docs)))
     leads = runs.where("note < 0").select(F.col("doc").alias("doc_id"), F.shiftright(-1 - F.col("note"), 32).alias("n_shingles"), F.col("first").alias("lead"))
-    cold, hot, own = _allocated(runs)
-    cold = written(_cold_pairs(cold))
-    met = written(_sharing(cold, own).unionByName(_stars(hot, own)))
-    wanted = met.select(F.col("a").alias("doc")).union(met.select("b")).union(hot.select("doc")).distinct()
-    texts = _candidate_texts(docs, wanted)
+    cold, own, crowded = _allocated(runs)
+    met = written(_sharing(_cold_pairs(cold), own))
+    texts = _candidate_texts(docs, met.select(F.col("a").alias("doc")).union(met.select("b")).union(crowded), crowded)
+    more, common = _crowded_pairs(texts.where("crowded"))
+    met = written(met.unionByName(more).groupBy("a", "b").agg(F.max("n").alias("n")))
 
     def joined(*links: DataFrame) -> DataFrame:
         """Components of the links so far and of equal sets."""
@@ -429,12 +507,15 @@ def classes(docs: DataFrame) -> DataFrame:
         return written(components(edges))
 
     most = met.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("nth = 1").select("a", "b")
-    links = [_verified(written(most), texts)]
-    found = joined(*links)
-    links.append(_verified(written(_apart(met.select("a", "b"), found)), texts))
-    found = joined(*links)
-    rest = _sharing(_summed(_across(hot, found, texts).unionByName(_apart(cold, found))), None).select("a", "b").join(met.select("a", "b"), ["a", "b"], "left_anti")
-    links.append(_verified(written(rest), texts))
-    found = joined(*links)
+    links, found = [], joined()
+    for pairs in (
+        lambda: most,
+        lambda: _apart(met.select("a", "b"), found),
+        lambda: _across(common, found).join(met.select("a", "b"), ["a", "b"], "left_anti"),
+    ):
+        new = written(pairs())
+        if not new.isEmpty():
+            links.append(_verified(new, texts))
+            found = joined(*links)
     out = leads.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.unionByName(_nameless(docs))

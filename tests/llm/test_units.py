@@ -193,6 +193,31 @@ def test_keys_meet():
     assert met > 500
 
 
+def test_common_passages_meet_rarely():
+    """A passage that all documents share is no meeting place as long as they don't link: pairs to look at grow at most as the documents do."""
+    met = []
+    for docs in (500, 1000, 2000):
+        sets = [neardup.shingles(" ".join([f"own{d}x{k}" for k in range(14 + d % 7)] + [f"all{k}" for k in range(60)])) for d in range(docs)]
+        top = np.uint64(64 - neardup.CELLS.bit_length() + 1)
+        frequency = np.bincount((np.concatenate(sets) >> top).astype(np.int64), minlength=neardup.CELLS)
+        under = Counter(e for x in sets for e in neardup.first_elements(x, frequency)[0].tolist())
+        fit = Counter((e, m >= len(x)) for x in sets for e, m in zip(*map(np.ndarray.tolist, neardup.first_elements(x, frequency))))
+        met.append(sum(fit[e, True] * n for e, n in under.items() if n > 1))
+    assert met[1] <= 2 * met[0] + 100 and met[2] <= 2 * met[1] + 100
+
+
+def test_first_elements():
+    """Linked sets meet under an element whose places and sizes allow it, whatever the frequencies."""
+    r = np.random.default_rng(3)
+    for _ in range(400):
+        pool = neardup.mixed(r.integers(0, 2**63, int(r.integers(2, 90))).astype(np.uint64))
+        a, b = (np.unique(r.choice(pool, max(1, int(len(pool) * r.uniform(0.8, 1))), replace=False)) for _ in range(2))
+        if neardup.linked(a, b):
+            frequency = r.integers(0, 5, neardup.CELLS)
+            x, y = (dict(zip(*map(np.ndarray.tolist, neardup.first_elements(s, frequency)))) for s in (a, b))
+            assert any(len(b) <= x[e] and len(a) <= y[e] for e in set(x) & set(y))
+
+
 def test_bands():
     for n in range(1, 3000):
         own, *more = neardup.bands(n)
