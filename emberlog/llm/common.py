@@ -39,6 +39,19 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser takes it, dots and back ticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Runs without ASCII white space. bytes.split() cuts at exactly x20 and x09 to x0D."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

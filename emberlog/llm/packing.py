@@ -14,8 +14,8 @@ size is a histogram of at most `capacity` counts. The driver plans on that histo
    fits, longest first.
 
 The plan is a list of placements: pieces of one length with ranks a to b go to sequences s, s+1, ...
-at one offset. Executors number the pieces of each length and look the placement up. Nothing on the
-driver grows with the corpus.
+at one offset. Tasks number their own pieces of each length, counts per task are summed up, and the
+placement is looked up, so pieces are never dealt by length. Nothing on the driver grows with the corpus.
 """
 
 from __future__ import annotations
@@ -26,14 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emberlog.llm import bpe
-from emberlog.llm.common import written
+from emberlog.llm.common import free_name, quoted, written
 
-CAPACITY, GROUPS, SMALL, SALTS = 2048, 64, 1 / 3, 32
+CAPACITY, GROUPS, SMALL = 2048, 64, 1 / 3
 
 
 @dataclass
@@ -234,39 +235,50 @@ def placements(lots: list[Lot]) -> np.ndarray:
     return table[np.lexsort((table[:, 1], table[:, 0]))]
 
 
-def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, length: str = "length") -> DataFrame:
+def ranks(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The place of each piece among those of its length, after the `seen` ones, which are brought up to date."""
+    order = np.argsort(lengths, kind="stable")
+    own = lengths[order]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
+    out = np.empty(len(own), np.int64)
+    out[order] = np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)])) + seen[own]
+    seen += np.bincount(lengths, minlength=len(seen))
+    return out
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
     """Adds sequence_id and offset to rows with a length of 1 to capacity.
 
-    Rows of a length are numbered in two steps, by a hash of `order` and within it, so that many
-    equal lengths don't meet in one task. Rows equal in all of `order` are interchangeable. The input
-    is read twice: pass a table, not a plan that encodes. An empty table gives no rows.
+    Each task numbers its pieces of a length, and that is written; what stands in the tasks before
+    follows from counts by length and task: if pieces travel to their counts, it is by length and
+    task, so a frequent length is no burden. Equal pieces are interchangeable. An empty table gives no rows.
     """
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    counted = salted.groupBy(length, "_salt").agg(F.count("*").alias("n")).collect()  # at most capacity * SALTS rows
-    counts: dict[int, int] = {}
-    before = []
-    for n, salt, c in sorted(counted):
-        before.append((n, salt, counts.get(n, 0)))
-        counts[n] = counts.get(n, 0) + c
+    part, nth, first = (free_name(pieces, c) for c in ("part", "nth", "first"))
+    columns, schema = pieces.columns, ", ".join(f"{quoted(c)} {t}" for c, t in pieces.dtypes)
+    at = columns.index(length)
+
+    def number(batches):
+        own, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            rank = ranks(batch.column(at).to_numpy().astype(np.int64), seen)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, own), pa.int32()), pa.array(rank, pa.int64())], [*columns, part, nth])
+
+    rows = written(pieces.mapInArrow(number, f"{schema}, {part} int, {nth} long"))
+    sizes = written(rows.groupBy(quoted(length), part).agg(F.count("*").alias("n")))
+    counts = {r[0]: r[1] for r in sizes.groupBy(quoted(length)).agg(F.sum("n")).collect()}  # at most capacity rows
+    before = Window.partitionBy(quoted(length)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(quoted(length), part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
     table = placements(plan(counts, capacity))
-    starts = np.zeros((capacity + 1, SALTS), np.int64)
-    for n, salt, b in before:
-        starts[n, salt] = b
-    columns = [c for c in pieces.columns]
+    keys = table[:, 0] * (1 << 42) + table[:, 1]
+    met = rows.join(sizes, [length, part]).select(*(F.col(quoted(c)) for c in columns), (F.col(first) + F.col(nth)).alias(nth))
 
     def placed(batches):
         for batch in batches:
-            n = batch.column(batch.schema.get_field_index(length)).to_numpy().astype(np.int64)
-            salt, nth = batch.column(len(columns)).to_numpy(), batch.column(len(columns) + 1).to_numpy()
-            rank = starts[n, salt] + nth - 1
-            keys = table[:, 0] * (1 << 42) + table[:, 1]
-            at = np.searchsorted(keys, n * (1 << 42) + rank, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(table[at, 3] + rank - table[at, 1], pa.int64()), pa.array(table[at, 4], pa.int64())], [*columns, "sequence_id", "offset"])
+            n, rank = batch.column(at).to_numpy().astype(np.int64), batch.column(len(columns)).to_numpy()
+            row = np.searchsorted(keys, n * (1 << 42) + rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(table[row, 3] + rank - table[row, 1], pa.int64()), pa.array(table[row, 4], pa.int64())], [*columns, "sequence_id", "offset"])
 
-    nth = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*order))
-    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    numbered = salted.withColumn("_nth", nth.cast("long")).select(*columns, "_salt", "_nth")
-    return numbered.mapInArrow(placed, f"{schema}, sequence_id long, offset long")
+    return met.mapInArrow(placed, f"{schema}, sequence_id long, offset long")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -297,7 +309,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
 
 def packed_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence and its place there."""
-    return pack(written(token_pieces(docs, tokenizer, end_id, capacity, with_ids)), ["doc_id", "piece", "ids_crc32"], capacity)
+    return pack(token_pieces(docs, tokenizer, end_id, capacity, with_ids), capacity)
 
 
 def sequences(packed: DataFrame, ids: Column | str = "ids") -> DataFrame:

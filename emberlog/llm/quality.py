@@ -1,12 +1,14 @@
 """Quality rules: base counts of a text, and robust multivariate outliers per language and source.
 
 Each text gives a vector of transformed statistics. For each group of texts a minimum-covariance-
-determinant estimate is made from all of its rows: starting from medians and absolute deviations,
-the half of the rows that lie nearest is averaged again and again (concentration steps), and at last
-all rows within the reach of nearly all normal ones (reweighting); every step is one aggregation over
-the groups, and junk of up to nearly half of a group's rows has no part in its estimate. Rows whose Mahalanobis distance from their group's
-estimate is beyond the cut are rejected. A group is a language and source, or for small ones the
-language's other sources, or the rest; a group that is still too small judges nothing.
+determinant estimate is made from all of its rows: from several fixed starts the half of the rows that lie
+nearest is averaged again and again (concentration steps), until no group's determinant falls any
+more; of a group's starts the one with the least determinant wins, and at last all rows within the reach of
+nearly all normal ones are averaged (reweighting). Every step is one aggregation over the groups, and
+junk of up to nearly half of a group's rows has no part in its estimate. A group is a language and source. Its
+estimate is drawn towards that of its language, and that towards the one of all rows, the more the
+fewer rows it has, so no number of rows changes how a group is judged. Rows whose Mahalanobis distance from their
+group's estimate is beyond the cut are rejected.
 """
 
 from __future__ import annotations
@@ -19,15 +21,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from emberlog.llm.bpe import text_batches
 from emberlog.llm.common import written
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Share of rows in the robust core, concentration steps, share of normal rows that reweighting takes, rows that a group needs, the cut on the squared distance.
-CORE, STEPS, REWEIGHTED, GROUP_ROWS, CUT = 0.5, 3, 0.975, 80, 60.0
-#: Groups whose estimates (some 250 bytes each) are broadcast; beyond, parts into which a group is spread.
-BROADCAST_GROUPS, SALTS = 10_000, 32
+#: Share of rows in the robust core; most concentration steps, and the fall of a log determinant worth another; share of normal rows that reweighting takes.
+CORE, STEPS, FALL, REWEIGHTED = 0.5, 10, 1e-3, 0.975
+#: Rows at which a group's own estimate weighs as much as the one it is drawn to.
+SHRINK = 80.0
+#: The cut on the squared distance. Normal vectors of six statistics would pass 22.5 once in a thousand, but shares of repeats and symbols
+#: have long tails in prose: documents a few of whose lines repeat reach 40. Each statistic alone still passes this cut, see FEATURES.
+CUT = 60.0
+#: Widths of the bins in which statistics and (logarithms of) distances are counted for medians and cores: counts give the same however rows are dealt.
+STATISTIC_BIN, DISTANCE_BIN = 0.001, 0.01
+#: Groups whose estimates (some kilobytes each) are broadcast; beyond, parts into which a group is spread.
+BROADCAST_GROUPS, SALTS = 5_000, 32
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 _GAPS = " \t\n\v\f\r"
@@ -116,17 +126,26 @@ def _with(rows: DataFrame, params: DataFrame, on: list[str], groups: int, how: s
     return rows.withColumn("_salt", F.pmod(F.hash(*VECTOR), F.lit(SALTS))).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
-def _grouped(rows: DataFrame, least: int) -> tuple[DataFrame, int]:
-    """Adds g, the finest group with enough rows, or null where even the rest is too small; and gives the number of groups."""
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Adds the row's groups: language with source, and language."""
     name = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
-    rows = rows.withColumn("g_lang", name("lang")).withColumn("g_source", name("source"))
-    fine = rows.where("judged").groupBy("g_lang", "g_source").agg(F.count("*").alias("n")).withColumn("fine", F.col("n") >= least)
-    rest = fine.where(~F.col("fine")).groupBy("g_lang").agg(F.sum("n").alias("m")).withColumn("middle", F.col("m") >= least)
-    pairs = written(fine.join(rest, "g_lang", "left"))
-    spare = pairs.where(~F.col("fine") & ~F.col("middle")).agg(F.sum("n")).first()[0] or 0
-    g = F.when(F.col("fine"), F.concat_ws("\u0000", "g_lang", "g_source")).when(F.col("middle"), F.col("g_lang")).when(F.lit(spare >= least), F.lit(""))
-    groups = pairs.count()
-    return _with(rows, pairs.select("g_lang", "g_source", g.alias("g")), ["g_lang", "g_source"], groups, "left").drop("g_lang", "g_source"), groups
+    return rows.withColumns({"g_fine": F.concat_ws("\u0000", F.lit("source"), name("lang"), name("source")), "g_lang": F.concat_ws("\u0000", F.lit("lang"), name("lang"))})
+
+
+def _quantile(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(keys, bin): the first bin up to which so great a share of n lies."""
+    each = Window.partitionBy(*keys)
+    upto = F.sum("n").over(each.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumns({"upto": upto, "total": F.sum("n").over(each)}).where(F.col("upto") >= share * F.col("total"))
+    return found.groupBy(*keys).agg(F.min("bin").alias("bin"))
+
+
+def _medians(rows: DataFrame, values: dict[str, Column], share: float = 0.5) -> DataFrame:
+    """g and a quantile of each of the values."""
+    binned = [F.struct(F.lit(name).alias("name"), F.floor(v / STATISTIC_BIN).alias("bin")) for name, v in values.items()]
+    counts = rows.select("g", F.explode(F.array(*binned)).alias("v")).groupBy("g", "v.name", "v.bin").agg(F.count("*").alias("n"))
+    found = _quantile(counts, ["g", "name"], share)
+    return found.groupBy("g").agg(*(F.max(F.when(F.col("name") == name, (F.col("bin") + 0.5) * STATISTIC_BIN)).alias(name) for name in values))
 
 
 def _distance(prefix: str = "") -> Column:
@@ -138,60 +157,121 @@ def _distance(prefix: str = "") -> Column:
     return total
 
 
-def _inverted(moments: DataFrame, groups: int) -> DataFrame:
-    """Centre and inverse covariance from a group's mean products; one row a group."""
-    out = "g string, " + ", ".join(f"c_{x} double" for x in VECTOR) + ", " + ", ".join(f"p_{a}_{b} double" for a, b in PAIRS)
-    floor = np.diag([v**2 for v in FEATURES.values()])
+_FRAME = [f"c_{x}" for x in VECTOR] + [f"s_{a}_{b}" for a, b in PAIRS] + [f"p_{a}_{b}" for a, b in PAIRS]
+_FLOOR = np.diag([v**2 for v in FEATURES.values()])
+
 
-    names = ["g", *(f"c_{x}" for x in VECTOR), *(f"p_{a}_{b}" for a, b in PAIRS)]
+def _square(row: dict, prefix: str) -> np.ndarray:
+    out = np.zeros((len(VECTOR),) * 2)
+    for a, b in PAIRS:
+        i, j = VECTOR.index(a), VECTOR.index(b)
+        out[i, j] = out[j, i] = row[f"{prefix}_{a}_{b}"]
+    return out
 
-    def invert(batches):
+
+def _frame(centre: np.ndarray, cov: np.ndarray) -> list[float]:
+    """Centre, covariance and its inverse, in the order of _FRAME."""
+    inverse = np.linalg.inv(cov)
+    upper = lambda m: [float(m[VECTOR.index(a), VECTOR.index(b)]) for a, b in PAIRS]
+    return [*centre.tolist(), *upper(cov), *upper(inverse)]
+
+
+def _by_group(rows: DataFrame, keys: dict[str, str], made, more: dict[str, str] | None = None) -> DataFrame:
+    """made(row) for each row of a group: values of the keys, of _FRAME and of `more`."""
+    kinds = {**keys, **dict.fromkeys(_FRAME, "double"), **(more or {})}
+    types = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+    def run(batches):
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                centre = np.array([row[f"m_{x}"] for x in VECTOR])
-                cov = np.zeros((len(VECTOR),) * 2)
-                for a, b in PAIRS:
-                    i, j = VECTOR.index(a), VECTOR.index(b)
-                    cov[i, j] = cov[j, i] = row[f"s_{a}_{b}"] - centre[i] * centre[j]
-                values, vectors = np.linalg.eigh((cov + cov.T) / 2)
-                cov = (vectors * np.maximum(values, 0)) @ vectors.T * row["scale"] + floor
-                inverse = np.linalg.inv(cov)
-                rows.append((row["g"], *centre.tolist(), *(float(inverse[VECTOR.index(a), VECTOR.index(b)]) for a, b in PAIRS)))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.float64()) for c in cols[1:])], names)
-
-    return moments.coalesce(1 + groups // 5000).mapInArrow(invert, out)
+            found = [made(row) for row in batch.to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*found, strict=True), kinds.values(), strict=True)], list(kinds))
+
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+
+
+def _inverted(moments: DataFrame) -> DataFrame:
+    """The frame of a group and start from mean products, and the logarithm of its determinant."""
+
+    def made(row):
+        centre = np.array([row[f"m_{x}"] for x in VECTOR])
+        values, vectors = np.linalg.eigh(_square(row, "s") - np.outer(centre, centre))
+        cov = (vectors * np.maximum(values, 0)) @ vectors.T * row["scale"] + _FLOOR
+        return row["g"], row["start"], *_frame(centre, cov), float(np.linalg.slogdet(cov)[1])
+
+    return _by_group(moments, {"g": "string", "start": "int"}, made, {"logdet": "double"})
 
 
 def _moments(rows: DataFrame, scale: float) -> DataFrame:
     aggs = [F.avg(x).alias(f"m_{x}") for x in VECTOR] + [F.avg(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in PAIRS]
-    return rows.groupBy("g").agg(*aggs, F.lit(scale).alias("scale"))
-
-
-def outliers(rows: DataFrame, core: float = CORE, steps: int = STEPS, least: int = GROUP_ROWS) -> DataFrame:
-    """Adds `distance` (squared, null where nothing judges) to rows with a vector, lang, source and a flag `judged`."""
-    rows, groups = _grouped(rows, least)
-    rows = written(rows)
-    own = rows.where(F.col("judged") & F.col("g").isNotNull()).select("g", *VECTOR)
-    # Start: the middle of each statistic, and its spread by the middle deviation.
-    middle = written(own.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"c_{x}") for x in VECTOR)))
-    spread = _with(own, middle, ["g"], groups).groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"c_{x}")), 0.5, 2000).alias(f"d_{x}") for x in VECTOR))
-    start = [
-        (1 / (F.pow(1.4826 * F.col(f"d_{a}"), F.lit(2.0)) + F.lit(FEATURES[a] ** 2)) if a == b else F.lit(0.0)).alias(f"p_{a}_{b}") for a, b in PAIRS
-    ]
-    shape = written(middle.join(spread, "g").select("g", *(f"c_{x}" for x in VECTOR), *start))
+    return rows.groupBy("g", "start").agg(*aggs, F.lit(scale).alias("scale"))
+
+
+def _starts(own: DataFrame, groups: int) -> DataFrame:
+    """Frames to begin with: the middle with the middle deviations, the first quarter with those (junk raises these statistics), and the middle with the least deviations."""
+    value = {x: F.col(x) for x in VECTOR}
+    middle, low = written(_medians(own, value)), written(_medians(own, value, 0.25))
+    named = lambda df, p: df.withColumnsRenamed({x: f"{p}_{x}" for x in VECTOR})
+    spread = _medians(_with(own, named(middle, "c"), ["g"], groups), {x: F.abs(F.col(x) - F.col(f"c_{x}")) for x in VECTOR})
+    all_of = named(middle, "mid").join(named(low, "low"), "g").join(named(spread, "dev"), "g")
+
+    def start(k, centre, wide):
+        deviation = lambda x: F.lit(FEATURES[x] ** 2) + (F.pow(1.4826 * F.col(f"dev_{x}"), F.lit(2.0)) if wide else F.lit(0.0))
+        inverse = [(1 / deviation(a) if a == b else F.lit(0.0)).alias(f"p_{a}_{b}") for a, b in PAIRS]
+        return all_of.select("g", F.lit(k).alias("start"), *(F.col(f"{centre}_{x}").alias(f"c_{x}") for x in VECTOR), *inverse)
+
+    return written(start(0, "mid", True).unionByName(start(1, "low", True)).unionByName(start(2, "mid", False)))
+
+
+def estimates(own: DataFrame, groups: int, core: float = CORE, steps: int = STEPS) -> DataFrame:
+    """The minimum-covariance-determinant frame of each group g of `own`."""
+    shape, before = _starts(own, groups), None
     for _ in range(steps):
-        far = _with(own, shape, ["g"], groups).withColumn("distance", _distance()).select("g", "distance", *VECTOR)
-        reach = far.groupBy("g").agg(F.percentile_approx("distance", core, 2000).alias("reach"))
+        far = _with(own, shape, ["g"], groups).withColumn("bin", F.floor(F.log1p(_distance()) / DISTANCE_BIN)).select("g", "start", "bin", *VECTOR)
+        reach = _quantile(far.groupBy("g", "start", "bin").agg(F.count("*").alias("n")), ["g", "start"], core).withColumnRenamed("bin", "reach")
         # The core's covariance is too small by a factor that holds for normal vectors.
-        inner = _with(far, reach, ["g"], groups).where(F.col("distance") <= F.col("reach"))
-        shape = written(_inverted(_moments(inner, consistency(core, len(VECTOR))), groups))
-    near = _with(own, shape, ["g"], groups).where(_distance() <= quantile(REWEIGHTED, len(VECTOR)))
-    shape = written(_inverted(_moments(near, consistency(REWEIGHTED, len(VECTOR))), groups))
-    judged = _with(rows, shape, ["g"], groups, "left").withColumn("distance", F.when(F.col("judged"), _distance()))
-    return judged.drop("g", *(f"c_{x}" for x in VECTOR), *(f"p_{a}_{b}" for a, b in PAIRS))
+        inner = _with(far, reach, ["g", "start"], groups).where("bin <= reach")
+        shape = written(_inverted(_moments(inner, consistency(core, len(VECTOR)))))
+        if before is not None:
+            fall = shape.join(before, ["g", "start"]).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+            if fall is None or fall < FALL:
+                break
+        before = shape.select("g", "start", F.col("logdet").alias("before"))
+    best = shape.groupBy("g").agg(F.min(F.struct("logdet", "start", *_FRAME)).alias("b")).select("g", "b.*")
+    near = _with(own, written(best), ["g"], groups).where(_distance() <= quantile(REWEIGHTED, len(VECTOR)))
+    return written(_inverted(_moments(near, consistency(REWEIGHTED, len(VECTOR)))))
+
+
+def _drawn(fine: DataFrame, frames: DataFrame, shrink: float) -> DataFrame:
+    """(g_fine, frame): of each group the mixture of its own estimate, its language's and that of all rows."""
+    level = lambda p, key: frames.select(F.col("g").alias(key), F.struct(*_FRAME).alias(p))
+    sizes = fine.withColumn("n_lang", F.sum("n").over(Window.partitionBy("g_lang")))
+    rows = sizes.join(level("f", "g_fine"), "g_fine").join(level("l", "g_lang"), "g_lang").withColumn("g_all", F.lit(ALL)).join(level("a", "g_all"), "g_all")
+
+    def mixed(share, one, other):
+        gap = one[0] - other[0]
+        return share * one[0] + (1 - share) * other[0], share * one[1] + (1 - share) * other[1] + share * (1 - share) * np.outer(gap, gap)
+
+    def made(row):
+        f, l, a = ((np.array([row[k][f"c_{x}"] for x in VECTOR]), _square(row[k], "s")) for k in "fla")  # noqa: E741
+        wide = mixed(row["n_lang"] / (row["n_lang"] + shrink), l, a)
+        return row["g_fine"], *_frame(*mixed(row["n"] / (row["n"] + shrink), f, wide))
+
+    return _by_group(rows, {"g_fine": "string"}, made)
+
+
+ALL = "all"
+
+
+def outliers(rows: DataFrame, core: float = CORE, steps: int = STEPS, shrink: float = SHRINK) -> DataFrame:
+    """Adds `distance` (squared, null for rows that are not judged) to rows with a vector, lang, source and a flag `judged`."""
+    rows = written(_grouped(rows))
+    fine = written(rows.where("judged").groupBy("g_fine", "g_lang").agg(F.count("*").alias("n")))
+    groups = 2 * fine.count() + 1
+    own = rows.where("judged").select(F.explode(F.array("g_fine", "g_lang", F.lit(ALL))).alias("g"), *VECTOR)
+    frames = written(_drawn(fine, estimates(own, groups, core, steps), shrink))
+    judged = _with(rows, frames, ["g_fine"], groups, "left").withColumn("distance", F.when(F.col("judged"), _distance()))
+    return judged.drop("g_fine", "g_lang", *_FRAME)
 
 
 def _below(x: float, k: int) -> float:
