@@ -20,8 +20,8 @@ from emberlog.llm.bpe import text_batches
 
 #: Hashed n-gram classes; labelled rows to fit on, per language, at about this number; centroids per language.
 CLASSES, SAMPLE_ROWS, CENTROIDS = 1 << 14, 1500, 4
-#: Languages that a fit looks at, the most frequent first; the share of training texts that may lie beyond the rejection distance.
-LANGUAGES, REJECTED = 256, 0.002
+#: Labelled rows to fit on over all languages, at about this number; the share of training texts that may lie beyond the rejection distance.
+MOST_ROWS, REJECTED = 60_000, 0.002
 
 _TABLE = np.full(256, 32, np.uint8)
 _TABLE[97:123] = np.arange(97, 123)
@@ -70,19 +70,30 @@ class Model:
         return self.languages[own], score, score < float(self.least[own])
 
 
+SPREAD = 1 << 30
+
+
+def _order(by: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(by), F.lit(7)), F.lit(SPREAD))
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", by: str = "doc_id", rows_per_language: int = SAMPLE_ROWS, centroids: int = CENTROIDS) -> Model:
-    """Centroids from a sample of about `rows_per_language` rows of each of at most LANGUAGES languages, chosen by a hash of `by`.
+    """Centroids from a sample of about `rows_per_language` rows of each language, chosen by a hash of `by`.
 
-    Whole texts count. Rows without text, label or letters are left out; no rows give a model without languages.
+    With very many languages each has fewer rows, so that a fit looks at about MOST_ROWS, but no
+    language is left out: a row of each is always taken. Whole texts count. Rows without text, label or letters are left out;
+    no rows give a model without languages.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    # A row per label: what a prediction can name at all.
+    found = rows.groupBy(lang).agg(F.count("*").alias("n"), F.min(F.when(F.col(text).rlike(r"\p{L}"), _order(by))).alias("least")).collect()
+    sizes, least_of = {r[0]: r[1] for r in found}, {r[0]: r[2] for r in found}
     if not sizes:
         return Model((), np.zeros(CLASSES, np.float32), np.zeros((0, CLASSES), np.float32), np.zeros(0, int), np.zeros(0))
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col(lang) == name, F.lit(min(1.0, rows_per_language / n))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(by), F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    per = min(rows_per_language, max(1, MOST_ROWS // len(sizes)))
+    upto = labelled.sparkSession.createDataFrame([(name, max(int(min(1.0, per / n) * SPREAD), 1 + (least_of[name] or 0))) for name, n in sizes.items()], "lang string, upto long")
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), _order(by).alias("place"))
+    chosen = rows.join(F.broadcast(upto), "lang").where("place < upto").select("lang", "text")
 
     def vectors(batches):
         for batch in text_batches(batches):
@@ -125,7 +136,12 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", extra: list[Column] | None = None) -> DataFrame:
-    """key, extra columns, lang_pred, score, rejected for every row, from its whole text alone."""
+    """key, extra columns, lang_pred, score, rejected for every row, from its whole text alone.
+
+    Null, empty and letterless texts: `und`, 0, rejected. Equal texts have equal results; of centroids
+    at the same distance the language first in order wins. An empty table gives no rows; other
+    columns are not looked at.
+    """
     rows = docs.select(key, F.col("text"), *(extra or []))
     names = [key, *rows.columns[2:]]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 16 KB for each centroid

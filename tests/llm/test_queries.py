@@ -220,6 +220,60 @@ def test_identifiers_of_several_tokens(spark):
     assert [hidden[20000 + k] for k in range(len(cases))] == want
 
 
+def test_planted_identifiers_in_prose(spark):
+    """Numbers that no base rule knows, planted under contexts that known ones have: nearly all are found, and decoys elsewhere are not."""
+    r = random.Random(21)
+    words = "the and of to in that thing ration ent ing her ere tion hat you are was for with".split()  # none that stands beside a planted number
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    before, after = ["reach us on", "my mobile is", "phone number:"], ["after nine", "if urgent", "at work"]
+    rows, planted, decoys = [], {}, set()
+    for k in range(300):
+        number, known = f"555-{r.randrange(1000):03d}-{k:04d}", f"+1 (555) {r.randrange(1000):03d}-{k:04d}"
+        kind = k % 3
+        value = known if kind == 0 else number
+        a, b = (r.choice(before), r.choice(after)) if kind < 2 else (prose(2), prose(2))
+        text = f"{prose(20)} {a} {value} {b} {prose(20)}"
+        rows.append((k, text))
+        if kind == 1:
+            planted[k] = f"phone:{text.index(value)}:{text.index(value) + len(value)}"
+        elif kind == 2:
+            decoys.add(k)
+    found = {x.doc_id: x.spans for x in pii.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(found[k] == v for k, v in planted.items()) >= 0.95 * len(planted)
+    assert sum(found[k] != "" for k in decoys) <= 0.02 * len(decoys)
+
+
+def test_masks_of_rows_that_share_an_id(spark):
+    """Spans belong to rows: a shared doc_id, none at all, dots in names and long words change nothing."""
+    long = "w" * 300
+    rows = [(k, f"{long}{long} {long} +1 234 555 0{k:03d} soon", 1) for k in range(30)] + [(100, f"{long}{long} {long} 555-123-4567 soon", 2), (100, "a completely different text under the same id", 3), (None, f"{long}{long} {long} 555-123-4568 soon", 4), (None, None, 5), (None, "", 6)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` int")
+    hidden = {x["a.b"]: x.text for x in pii.masked(table).collect() if x["a.b"] > 1}
+    assert hidden == {2: f"{long}{long} {long} <PHONE> soon", 3: rows[31][1], 4: f"{long}{long} {long} <PHONE> soon", 5: None, 6: ""}
+
+
+def test_many_languages(spark):
+    """No language is left out, however many there are."""
+    rows = [(k, f"lang{k % 300:03d} " + " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 12)}{j}x" for j in range(9)), f"l{k % 300:03d}") for k in range(900)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = languages.fit(table, rows_per_language=3, centroids=1)
+    assert len(model.languages) == 300
+
+
+def test_groups_of_any_size(spark):
+    """A row more or less changes no verdict by itself: groups of 79 and 80 rows are judged alike."""
+    r = random.Random(31)
+    text = lambda: " ".join(r.choice("lorem ipsum dolor sit amet consectetur elit sed".split()) + str(r.randrange(99)) for _ in range(r.randrange(40, 200)))
+    clean = [text() for _ in range(200)]
+    verdicts = []
+    for n in (79, 80):
+        rows = [(k, clean[k], "en", "a") for k in range(n)] + [(200 + k, clean[199 - k], "en", "b") for k in range(90)] + [(900, " ".join(w + "##" for w in clean[0].split()), "en", "a")]
+        found = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(n % 7 + 1)).collect()}
+        assert not found[900].kept and all(found[k].kept for k in range(79))
+        verdicts.append(found[900].distance)
+    assert max(verdicts) < 1.3 * min(verdicts)
+
+
 def test_outliers(spark):
     """In a large clean group, junk of several kinds is rejected and clean texts stay."""
     r = random.Random(13)
