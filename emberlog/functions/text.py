@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPACES = r"[ \t\r\n\x0B\f]"
+SPACES, _SPACE_CHARS = r"[ \t\r\n\x0B\f]", " \t\r\n\x0b\f"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row: a bound variable is never inlined, so nested expressions don't multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -43,15 +50,15 @@ def is_alnum(c: Column) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return trim_right(trim_left(c))
+    return F.btrim(c, F.lit(_SPACE_CHARS))
 
 
 def trim_left(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACES}+", "")
+    return F.ltrim(c, F.lit(_SPACE_CHARS))
 
 
 def trim_right(c: Column) -> Column:
-    return F.when(c.rlike(f"{SPACES}\\z"), F.regexp_replace(c, f"{SPACES}+\\z", "")).otherwise(c)
+    return F.rtrim(c, F.lit(_SPACE_CHARS))
 
 
 def starts_with(c: Column, part: str) -> Column:
@@ -95,9 +102,10 @@ def replace_all(c: Column, old: str, new: str) -> Column:
 
 def parse_u64(c: Column) -> Column:
     """decimal(20,0) of a run of digits within 64 bits, else null."""
-    short = F.regexp_replace(c, "^0+(?=[0-9])", "")
-    value = F.when(c.rlike("^[0-9]+\\z") & (F.length(short) <= 20), short.try_cast("decimal(20,0)"))
-    return F.when(value <= F.lit("18446744073709551615").cast("decimal(20,0)"), value)
+    most = F.lit("18446744073709551615").cast("decimal(20,0)")
+    digits = lambda x: F.when(x.rlike("^[0-9]+\\z"), F.regexp_replace(x, "^0+(?=[0-9])", ""))
+    number = lambda d: F.when(F.length(d) <= 20, d.try_cast("decimal(20,0)"))
+    return let(c, lambda x: let(digits(x), lambda d: let(number(d), lambda n: F.when(n <= most, n))))
 
 
 def parse_i64(c: Column) -> Column:
@@ -107,15 +115,18 @@ def parse_i64(c: Column) -> Column:
 
 def parse_u32(c: Column) -> Column:
     """bigint of a run of digits, clamped to 32 bits; null if not a 64-bit number."""
-    n = parse_u64(c)
-    return F.when(n.isNotNull(), F.least(n, F.lit(0xFFFFFFFF).cast("decimal(20,0)"))).cast("bigint")
+    return let(parse_u64(c), lambda n: F.when(n.isNotNull(), F.least(n, F.lit(0xFFFFFFFF).cast("decimal(20,0)"))).cast("bigint"))
 
 
 def truncate(c: Column, most: int) -> Column:
     """At most so many bytes, the last three of them dots."""
-    raw = F.encode(c, "UTF-8")
-    short = F.substring(raw, 1, most) if most <= 3 else F.concat(F.substring(raw, 1, most - 3), F.encode(F.lit("..."), "UTF-8"))
-    return F.when(F.octet_length(c) > most, short.cast("string")).otherwise(c)
+
+    def cut(x: Column) -> Column:
+        raw = F.encode(x, "UTF-8")
+        short = F.substring(raw, 1, most) if most <= 3 else F.concat(F.substring(raw, 1, most - 3), F.encode(F.lit("..."), "UTF-8"))
+        return F.when(F.octet_length(x) > most, short.cast("string")).otherwise(x)
+
+    return let(c, cut)
 
 
 def sanitize(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import ascii_lower, parse_u64, split_whitespace, trim
+from emberlog.functions.text import ascii_lower, let, split_whitespace, trim
 
 #: Fixed values.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -18,10 +18,6 @@ def floor_div(a: Column, b: int | Column) -> Column:
     return F.call_function("div", a.cast("bigint") - F.pmod(a.cast("bigint"), b), b)
 
 
-def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(c, pattern, group)
-
-
 def _int(c: Column) -> Column:
     return F.when(F.length(c) <= 18, F.when(c.rlike("^[0-9]+\\z"), c.try_cast("bigint"))).otherwise(F.lit(1 << 60))
 
@@ -47,44 +43,57 @@ def month_number(name: Column) -> Column:
 
 def iso8601(c: Column) -> Column:
     """Date, or date and time; up to six digits of a second; Z, an offset or nothing (UTC); what follows is ignored."""
-    s = trim(c)
-    date = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})"
-    clock = r"(?s)^[Tt ]([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]*))?(.*)$"
-    zone = r"(?s)^([+-])([0-9]{2}):?([0-9]{2})"
-    rest = F.substring(s, F.lit(11), F.length(s))
-    year, month, day = (_int(_part(s, date, k)) for k in (1, 2, 3))
-    hour, minute, second = (_int(_part(rest, clock, k)) for k in (1, 2, 3))
-    micro = _int(F.rpad(F.substring(_part(rest, clock, 4), 1, 6), 6, "0"))
-    tail = _part(rest, clock, 5)
-    offset = (_int(_part(tail, zone, 2)) * 60 + _int(_part(tail, zone, 3))) * 60 * SECOND
-    offset = F.when(tail.rlike(zone), F.when(tail.startswith("-"), -offset).otherwise(offset)).when(~tail.rlike("^[+-]"), F.lit(0))
-    timed = F.when(rest.rlike(clock) & (hour <= 23) & (minute <= 59) & (second <= 60), micros(year, month, day, hour, minute, second, micro) - offset)
-    plain = micros(year, month, day, F.lit(0), F.lit(0), F.lit(0))
-    return F.when(s.rlike(date) & month.between(1, 12) & day.between(1, 31), F.when(rest.rlike("^[Tt ]"), timed).otherwise(plain))
+    return let(trim(c), _iso8601)
+
+
+def _iso8601(s: Column) -> Column:
+    """All fields stand at fixed places, but for the offset after the digits of a second."""
+    number = lambda at, n: F.substring(s, at, n).try_cast("bigint")
+    day = lambda v: (F.unix_date(F.make_date(v[0].cast("int"), v[1].cast("int"), F.lit(1))).cast("bigint") + v[2] - 1) * (86_400 * SECOND)
+    clock = lambda v: F.when((v[3] <= 23) & (v[4] <= 59) & (v[5] <= 60), ((v[3] * 60 + v[4]) * 60 + F.least(v[5], F.lit(59))) * SECOND)
+    timed = lambda v: day(v) + clock(v) + let(F.regexp_extract(s, r"^.{19}\.([0-9]*)", 1), lambda f: F.rpad(F.substring(f, 1, 6), 6, "0").try_cast("bigint") - let(_after_second(s, f), _offset))
+    whole = s.rlike(r"^.{10}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}")
+    fields = F.array(number(1, 4), number(6, 2), number(9, 2), number(12, 2), number(15, 2), number(18, 2))
+    found = let(fields, lambda v: F.when(v[1].between(1, 12) & v[2].between(1, 31), F.when(whole, timed(v)).when(~s.rlike(r"^.{10}[Tt ]"), day(v))))
+    return F.when(s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), found)
+
+
+def _after_second(s: Column, fraction: Column) -> Column:
+    return F.substring(s, F.when(F.substring(s, 20, 1) == ".", F.length(fraction) + 21).otherwise(20), F.length(s))
+
+
+def _offset(tail: Column) -> Column:
+    """Microseconds east of UTC; null for a sign without hours and minutes."""
+    digits = F.replace(F.substring(tail, 2, 5), F.lit(":"), F.lit(""))
+    value = (F.substring(digits, 1, 2).try_cast("bigint") * 60 + F.substring(digits, 3, 2).try_cast("bigint")) * (60 * SECOND)
+    return F.when(tail.rlike("^[+-][0-9]{2}:?[0-9]{2}"), F.when(tail.startswith("-"), -value).otherwise(value)).when(~tail.rlike("^[+-]"), F.lit(0).cast("bigint"))
 
 
 def bsd(c: Column, year: int | Column = 1970) -> Column:
     """Mmm d hh:mm:ss of a given year."""
-    parts = split_whitespace(c)
-    month, day = month_number(F.get(parts, F.lit(0))), _int(F.get(parts, F.lit(1)))
-    hms = F.split(F.get(parts, F.lit(2)), ":", -1)
-    hour, minute, second = (_int(F.get(hms, F.lit(k))) for k in range(3))
-    good = (F.size(parts) >= 3) & (F.size(hms) == 3) & month.isNotNull() & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
-    return F.when(good, micros(year if isinstance(year, Column) else F.lit(year), month, day, hour, minute, second))
+    return let(split_whitespace(c), lambda parts: _bsd(parts, year))
+
+
+def _bsd(parts: Column, year: int | Column) -> Column:
+    year = year if isinstance(year, Column) else F.lit(year)
+    hms = lambda h: F.when(F.size(h) == 3, F.array(month_number(parts[0]), _int(parts[1]), *(_int(h[k]) for k in range(3))))
+    good = lambda v: v[0].isNotNull() & v[1].between(1, 31) & (v[2] <= 23) & (v[3] <= 59) & (v[4] <= 60)
+    found = let(let(F.split(parts[2], ":", -1), hms), lambda v: F.when(good(v), micros(year, *(v[k] for k in range(5)))))
+    return F.when(F.size(parts) >= 3, found)
 
 
 def clf(c: Column) -> Column:
     """dd/Mmm/yyyy:hh:mm:ss with an optional +hhmm, in brackets or not."""
-    s = F.regexp_replace(F.regexp_replace(trim(c), "^\\[", ""), "\\]\\z", "")
-    parts = split_whitespace(s)
-    when, zone = F.split(F.get(parts, F.lit(0)), ":", -1), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
-    date = F.split(F.get(when, F.lit(0)), "/", -1)
-    day, month, year = _int(F.get(date, F.lit(0))), month_number(F.get(date, F.lit(1))), _int(F.get(date, F.lit(2)))
-    hour, minute, second = (_int(F.get(when, F.lit(k))) for k in (1, 2, 3))
-    offset = (_int(F.substring(zone, 2, 2)) * 60 + _int(F.substring(zone, 4, 2))) * 60 * SECOND
-    offset = F.when(zone.rlike("^[+-][0-9]{4}\\z"), F.when(zone.startswith("-"), -offset).otherwise(offset)).otherwise(F.lit(0))
-    good = (F.size(when) == 4) & (F.size(date) == 3) & month.isNotNull() & day.between(1, 31) & (year <= 200_000) & (hour <= 23) & (minute <= 59) & (second <= 60)
-    return F.when(good, micros(year, month, day, hour, minute, second) - offset)
+    return let(split_whitespace(F.regexp_replace(F.regexp_replace(trim(c), "^\\[", ""), "\\]\\z", "")), _clf)
+
+
+def _clf(parts: Column) -> Column:
+    date = lambda w: let(F.split(w[0], "/", -1), lambda d: F.when(F.size(d) == 3, F.array(_int(d[2]), month_number(d[1]), _int(d[0]), *(_int(w[k]) for k in (1, 2, 3)))))
+    good = lambda v: v[1].isNotNull() & v[2].between(1, 31) & (v[0] <= 200_000) & (v[3] <= 23) & (v[4] <= 59) & (v[5] <= 60)
+    value = lambda z: (F.substring(z, 2, 2).try_cast("bigint") * 60 + F.substring(z, 4, 2).try_cast("bigint")) * (60 * SECOND)
+    offset = let(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), lambda z: F.when(z.rlike("^[+-][0-9]{4}\\z"), F.when(z.startswith("-"), -value(z)).otherwise(value(z))).otherwise(F.lit(0).cast("bigint")))
+    fields = let(F.split(F.get(parts, F.lit(0)), ":", -1), lambda w: F.when(F.size(w) == 4, date(w)))
+    return let(fields, lambda v: F.when(good(v), micros(*(v[k] for k in range(6))) - offset))
 
 
 def filetime(ticks: Column) -> Column:
@@ -94,9 +103,8 @@ def filetime(ticks: Column) -> Column:
 
 def any_time(c: Column, year: int | Column = 1970) -> Column:
     """The first of ISO 8601, CLF, BSD and 9 to 11 digits of epoch seconds that fits."""
-    s = trim(c)
-    seconds = F.when(s.rlike("^[0-9]{9,11}\\z"), parse_u64(s).cast("bigint") * SECOND)
-    return F.coalesce(iso8601(c), clf(c), bsd(c, year), seconds)
+    seconds = lambda s: F.when(s.rlike("^[0-9]{9,11}\\z"), s.try_cast("bigint") * SECOND)
+    return let(trim(c), lambda s: F.coalesce(_iso8601(s), clf(s), bsd(s, year), seconds(s)))
 
 
 def to_iso8601(ts: Column) -> Column:

@@ -95,13 +95,16 @@ def from_http(status: Column) -> Column:
 
 def from_cef(text: Column) -> Column:
     """Numbers 0 to 10 by ranges, or words; larger numbers are critical."""
-    from emberlog.functions.text import ascii_lower, trim
+    from emberlog.functions.text import ascii_lower, let, trim
+
+
+    def scale(word: Column) -> Column:
+        number = F.when(F.length(word) <= 18, word.try_cast("bigint")).otherwise(F.lit(1 << 40))
+        by_number = F.when(number <= 3, 6).when(number <= 6, 4).when(number <= 8, 3).otherwise(2)
+        by_word = F.when(word == "low", 6).when(word == "medium", 4).when(word == "high", 3).when(word.isin("very-high", "critical"), 2).otherwise(8)
+        return F.when(word.rlike("^[0-9]+$"), by_number).otherwise(by_word).cast("tinyint")
 
-    word = ascii_lower(trim(text))
-    number = F.when(F.length(word) <= 18, word.try_cast("bigint")).otherwise(F.lit(1 << 40))
-    by_number = F.when(number <= 3, 6).when(number <= 6, 4).when(number <= 8, 3).otherwise(2)
-    by_word = F.when(word == "low", 6).when(word == "medium", 4).when(word == "high", 3).when(word.isin("very-high", "critical"), 2).otherwise(8)
-    return F.when(word.rlike("^[0-9]+$"), by_number).otherwise(by_word).cast("tinyint")
+    return let(ascii_lower(trim(text)), scale)
 
 
 def at_least_as_severe(a: Column, b: Column) -> Column:

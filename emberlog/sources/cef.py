@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog import schema
 from emberlog.functions import times
-from emberlog.functions.text import parse_u32, parse_u64, trim, truncate
+from emberlog.functions.text import let, parse_u32, parse_u64, trim, truncate
 from emberlog.sources.common import diagnostic, events, no_diagnostic, string_fields
 
 MOST_FIELD, MOST_PAIRS, MOST_MESSAGE = 1 << 16, 1024, 1 << 20
@@ -20,14 +20,14 @@ _NAMES = ("vendor", "product", "version_text", "signature", "name", "severity_te
 
 
 def _cut(c: Column, most: int) -> Column:
-    return F.when(F.octet_length(c) > most, F.substring(F.encode(c, "UTF-8"), 1, most).cast("string")).otherwise(c)
+    return let(c, lambda x: F.when(F.octet_length(x) > most, F.substring(F.encode(x, "UTF-8"), 1, most).cast("string")).otherwise(x))
 
 
 def unescape_value(c: Column) -> Column:
     r"""\= \\ \n \r; other backslashes stay."""
-    parts = F.regexp_extract_all(c, F.lit(r"(?s)\\[=\\nr]|[^\\]+|\\"), F.lit(0))
+    parts = lambda x: F.regexp_extract_all(x, F.lit(r"(?s)\\[=\\nr]|[^\\]+|\\"), F.lit(0))
     one = lambda p: F.when(p == "\\n", "\n").when(p == "\\r", "\r").when(p == "\\=", "=").when(p == "\\\\", "\\").otherwise(p)
-    return F.when(c.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(c)
+    return let(c, lambda x: F.when(x.contains("\\"), F.array_join(F.transform(parts(x), one), "")).otherwise(x))
 
 
 def extensions(text: Column) -> Column:
@@ -63,10 +63,8 @@ def has_extension(key: str) -> Column:
 
 def receipt_time(text: Column, year: int = 1970) -> Column:
     """Digits are milliseconds since 1970; other texts any known time."""
-    s = trim(text)
-    number = F.when(s.rlike("^[0-9]+\\z"), parse_u64(s))
-    milliseconds = F.when(number <= 9223372036854775, (number * 1000).cast("bigint"))
-    return F.when(s.rlike("^[0-9]+\\z"), milliseconds).otherwise(times.any_time(s, year))
+    milliseconds = lambda n: F.when(n <= 9223372036854775, (n * 1000).cast("bigint"))
+    return let(trim(text), lambda s: F.when(s.rlike("^[0-9]+\\z"), let(parse_u64(s), milliseconds)).otherwise(times.any_time(s, year)))
 
 
 def to_events(lines: DataFrame, year: int = 1970) -> DataFrame:
@@ -76,8 +74,8 @@ def to_events(lines: DataFrame, year: int = 1970) -> DataFrame:
     of = lambda *keys: F.filter("extensions", lambda e: e["key"].isin(*keys))
     first = lambda *keys: F.get(F.filter(of(*keys), lambda e: e["text"] != ""), F.lit(0))["text"]
     port = lambda key: F.get(F.filter(F.transform(of(key), lambda e: F.coalesce(parse_u32(trim(e["text"])), F.lit(0))), lambda n: n != 0), F.lit(0))
-    time = F.element_at(F.filter(F.transform(of("rt"), lambda e: receipt_time(e["text"], year)), lambda t: t.isNotNull()), -1)
-    time = F.when(F.size(F.filter(F.transform(of("rt"), lambda e: receipt_time(e["text"], year)), lambda t: t.isNotNull())) > 0, time)
+    times_ = F.filter(F.transform(of("rt"), lambda e: receipt_time(e["text"], year)), lambda t: t.isNotNull())
+    time = let(times_, lambda t: F.when(F.size(t) > 0, F.element_at(t, -1)))
     message = F.coalesce(F.when(F.size(of("msg")) > 0, F.element_at(of("msg"), -1)["text"]), F.col("name"))
     extra = [("cef.signatureId", "signature"), ("cef.name", "name"), ("cef.deviceVersion", "version_text")]
     head = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).alias("text")) for k, c in extra)), lambda p: p["text"] != "")

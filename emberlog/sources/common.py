@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog import schema
+from emberlog.functions.text import let
 
 DIAGNOSTIC = "struct<level:string,where:string,detail:string,line:bigint>"
 
@@ -26,6 +27,5 @@ def events(rows: DataFrame, values: dict[str, Column], problem: Column) -> DataF
 
 def string_fields(pairs: Column) -> Column:
     """array<struct<key, text>> as an ordered map: a key keeps its first place and has its last value."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    last = lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["text"]
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit("string").alias("kind"), last(k).alias("text")))
+    last = lambda p, k: F.element_at(F.filter(p, lambda x: x["key"] == k), -1)["text"]
+    return let(pairs, lambda p: F.transform(F.array_distinct(F.transform(p, lambda x: x["key"])), lambda k: F.struct(k.alias("key"), F.lit("string").alias("kind"), last(p, k).alias("text"))))

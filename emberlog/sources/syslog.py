@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog import schema
 from emberlog.functions import times
-from emberlog.functions.text import parse_i64, truncate
+from emberlog.functions.text import let, parse_i64, truncate
 from emberlog.sources.common import diagnostic, events, no_diagnostic, string_fields
 
 MOST_ELEMENTS, MOST_PARAMS, MOST_MESSAGE = 256, 256, 1 << 20
@@ -25,24 +25,32 @@ def _group(c: Column, pattern: str, k: int) -> Column:
     return F.regexp_extract(c, pattern, k)
 
 
+def _groups(c: Column, pattern: str, n: int) -> Column:
+    """The groups of a pattern that takes a whole text, the last one with the rest: one pass, cut at NULs put between them; texts with NULs of their own group by group."""
+    marked = F.regexp_replace(c, pattern, "".join(f"${k}\x00" for k in range(1, n)) + f"${n}")
+    return F.when(c.contains("\x00"), F.array(*(_group(c, pattern, k) for k in range(1, n + 1)))).otherwise(F.split(marked, "\x00", n))
+
+
 def _denil(c: Column) -> Column:
     return F.when(c == "-", F.lit("")).otherwise(c)
 
 
 def structured_data(text: Column) -> Column:
     """struct<status, elements: array<struct<id, params: array<struct<name, value>>>>, rest> of text at structured data."""
-    found = _group(text, _DATA, 0)
     unescape = lambda v: F.regexp_replace(v, r'\\(["\\\]])', "$1")
     one = lambda e: F.struct(
         F.regexp_extract(e, r"^\[([^ \]]+)", 1).alias("id"),
         F.transform(F.regexp_extract_all(F.regexp_replace(e, r"^\[[^ \]]+", ""), F.lit(_PARAM_ONLY), F.lit(0)), lambda p: F.struct(F.regexp_extract(p, r"^ *([^= \]]*)=", 1).alias("name"), unescape(F.regexp_extract(p, rf'^[^=]*="({_VALUE})"$', 1)).alias("value"))).alias("params"),
     )
-    elements = F.transform(F.regexp_extract_all(found, F.lit(_ELEMENT), F.lit(0)), one)
-    none = F.array().cast("array<struct<id:string,params:array<struct<name:string,value:string>>>>")
-    too_many = (F.size(elements) > MOST_ELEMENTS) | F.exists(elements, lambda e: F.size(e["params"]) > MOST_PARAMS)
-    status = F.when(text == "", "truncated").when(text.startswith("-"), "ok").when(found == "", "malformed").when(too_many, "limit-exceeded").otherwise("ok")
-    rest = F.when(text.startswith("-"), F.substring(text, F.lit(2), F.length(text))).when(found != "", F.substring(text, F.length(found) + 1, F.length(text))).otherwise(text)
-    return F.struct(status.alias("status"), F.when(found != "", elements).otherwise(none).alias("elements"), rest.alias("rest"))
+
+    def read(found: Column) -> Column:
+        elements = F.transform(F.regexp_extract_all(found, F.lit(_ELEMENT), F.lit(0)), one)
+        too_many = lambda x: (F.size(x) > MOST_ELEMENTS) | F.exists(x, lambda e: F.size(e["params"]) > MOST_PARAMS)
+        status = lambda x: F.when(text == "", "truncated").when(text.startswith("-"), "ok").when(found == "", "malformed").when(too_many(x), "limit-exceeded").otherwise("ok")
+        rest = F.when(text.startswith("-"), F.substring(text, F.lit(2), F.length(text))).when(found != "", F.substring(text, F.length(found) + 1, F.length(text))).otherwise(text)
+        return let(elements, lambda x: F.struct(status(x).alias("status"), x.alias("elements"), rest.alias("rest")))
+
+    return let(F.regexp_extract(text, _DATA, 0), read)
 
 
 def parse(lines: DataFrame, year: int = 1970) -> DataFrame:
@@ -57,15 +65,16 @@ def parse(lines: DataFrame, year: int = 1970) -> DataFrame:
     rows = rows.withColumns(
         {
             "facility": F.floor(F.col("priority") / 8).cast("int"), "level": F.col("priority") % 8, "new": new,
-            "head": F.when(new, F.array(*(_group(rest, _HEADER, k) for k in range(1, 7)))),
+            "head": F.when(new, _groups(rest, _HEADER, 6)),
             "stamped": rest.rlike(_BSD),
         }
     )
     body = F.when(F.col("stamped"), F.regexp_replace(_after(rest, F.lit(15)), "^ +", "")).otherwise(rest)
-    rows = rows.withColumn("sd", F.when(F.col("new"), structured_data(F.get("head", F.lit(5))))).withColumn("body", body)
-    token = r"(?s)^([^ ]*) *([^ ]*) *(.*)$"
-    rows = rows.withColumns({"b_host": _group(F.col("body"), token, 1), "b_token": _group(F.col("body"), token, 2), "b_message": _group(F.col("body"), token, 3)})
-    tag = F.regexp_replace("b_token", ":\\z", "")
+    rows = rows.withColumn("sd", F.when(F.col("new"), let(F.get("head", F.lit(5)), structured_data))).withColumn("body", body)
+    rows = rows.withColumn("words", _groups(F.col("body"), r"(?s)^([^ ]*) *([^ ]*) *(.*)$", 3))
+    rows = rows.withColumns({name: F.get("words", F.lit(k)) for k, name in enumerate(("b_host", "b_token", "b_message"))})
+    rows = rows.withColumn("b_tag", F.regexp_replace("b_token", ":\\z", ""))
+    tag = F.col("b_tag")
     tagged = F.col("b_token").endswith(":") | F.col("b_token").contains("[")
     in_brackets = tag.rlike(r"(?s)\[[^\[]*\]\z")
     head = lambda k: _denil(F.get("head", F.lit(k)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog import schema
 from emberlog.functions import times
-from emberlog.functions.text import parse_u64, percent_decode, sanitize, split_whitespace, truncate
+from emberlog.functions.text import let, parse_u64, percent_decode, sanitize, split_whitespace, truncate
 from emberlog.sources.common import diagnostic, events, no_diagnostic
 
 MOST_LINE, MOST_FIELD, MOST_TARGET = 1 << 20, 1 << 16, 512
@@ -21,17 +21,20 @@ def tokens(line: Column) -> Column:
     raw = F.regexp_extract_all(F.substring(F.encode(line, "UTF-8"), 1, MOST_LINE).cast("string"), F.lit(_TOKEN), F.lit(0))
     quoted = lambda t: F.regexp_replace(F.regexp_replace(t, r'(?s)^"((?:[^"\\]|\\.)*+)"?', "$1"), r"(?s)\\(.)", "$1")
     plain = lambda t: F.when(t.startswith('"'), quoted(t)).when(t.startswith("["), F.regexp_replace(t, r"(?s)^\[([^\]]*+)\]?", "$1")).otherwise(t)
-    cut = lambda t: F.when(F.octet_length(t) > MOST_FIELD, F.substring(F.encode(t, "UTF-8"), 1, MOST_FIELD).cast("string")).otherwise(t)
+    cut = lambda p: let(p, lambda t: F.when(F.octet_length(t) > MOST_FIELD, F.substring(F.encode(t, "UTF-8"), 1, MOST_FIELD).cast("string")).otherwise(t))
     return F.transform(raw, lambda t: cut(plain(t)))
 
 
 def request_line(text: Column) -> Column:
     """struct<method, target, version, valid>: three parts are a request, of more the middle ones are the target."""
-    parts = split_whitespace(text)
-    n = F.size(parts)
-    part = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
-    target = F.when(n == 2, part(F.lit(1))).when(n >= 3, F.array_join(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), " ")).otherwise("")
-    return F.struct(part(F.lit(0)).alias("method"), target.alias("target"), F.when(n >= 3, part(n - 1)).otherwise("").alias("version"), (n == 3).alias("valid"))
+
+    def request(parts: Column) -> Column:
+        n = F.size(parts)
+        part = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+        target = F.when(n == 2, part(F.lit(1))).when(n >= 3, F.array_join(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), " ")).otherwise("")
+        return F.struct(part(F.lit(0)).alias("method"), target.alias("target"), F.when(n >= 3, part(n - 1)).otherwise("").alias("version"), (n == 3).alias("valid"))
+
+    return let(split_whitespace(text), request)
 
 
 def decoded_path(target: Column) -> Column:
@@ -44,14 +47,13 @@ def parse(lines: DataFrame) -> DataFrame:
     rows = lines.where(~F.col("line").rlike(rf"^{_GAP}*\z")).withColumn("t", tokens(F.col("line")))
     n, at = F.size("t"), lambda k: F.coalesce(F.get("t", F.lit(k)), F.lit(""))
     undash = lambda c: F.when(c == "-", F.lit("")).otherwise(c)
-    status = parse_u64(at(5))
     combined = n >= 9
     return rows.select(
         "file", "line_no", "line", F.when(n >= 5, "ok").otherwise("malformed").alias("status"),
         F.when(combined, "combined").otherwise("common").alias("format"),
         at(0).alias("client_ip"), undash(at(1)).alias("ident"), undash(at(2)).alias("user"), times.clf(at(3)).alias("ts_us"),
         request_line(at(4)).alias("request"),
-        F.coalesce(F.when(status <= 0xFFFFFFFF, status), F.lit(0)).cast("bigint").alias("http_status"), parse_u64(at(6)).alias("bytes"),
+        F.coalesce(let(parse_u64(at(5)), lambda n: F.when(n <= 0xFFFFFFFF, n)), F.lit(0)).cast("bigint").alias("http_status"), parse_u64(at(6)).alias("bytes"),
         F.when(combined, undash(at(7))).otherwise("").alias("referer"), F.when(combined, undash(at(8))).otherwise("").alias("user_agent"),
     )
 
