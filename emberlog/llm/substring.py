@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.bpe import text_batches
-from emberlog.llm.common import partitions, words_of, written
+from emberlog.llm.common import KeyFilter, key_filter, mixed, partitions, quoted, words_of, written
 
 BLOCK, ANCHOR = 20, 8
-#: Words remembered by a worker; bytes of text settled together; least and most bits of the filter of anchors.
-WORDS, TOGETHER, LEAST_BITS, MOST_BITS = 250_000, 2 << 20, 1 << 20, 1 << 28
+#: Words remembered by a worker; bytes of text settled together.
+WORDS, TOGETHER = 250_000, 2 << 20
+
+_K, _A = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-_K, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 class _Words(dict):
     """64-bit hashes of words; emptied when full."""
@@ -50,13 +51,6 @@ _words = _Words()
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _A
-        x = (x ^ (x >> np.uint64(27))) * _B
-        return x ^ (x >> np.uint64(31))
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
@@ -78,7 +72,7 @@ def _rolled(own: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Eight-word fingerprints, and for each block the place of its anchor among them."""
-    key = _mixed(_rolled(own, ANCHOR))
+    key = mixed(_rolled(own, ANCHOR))
     span = BLOCK - ANCHOR + 1
     view = np.lib.stride_tricks.sliding_window_view(key, span)
     return key, np.arange(len(view)) + view.argmin(axis=1)
@@ -86,7 +80,7 @@ def anchors(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two fingerprints of each block, 64 and 32 bits."""
-    return _mixed(_rolled(own, BLOCK)), (_mixed(_rolled(_mixed(own + _A), BLOCK)) >> np.uint64(33)).astype(np.int32)
+    return mixed(_rolled(own, BLOCK)), (mixed(_rolled(mixed(own + _A), BLOCK)) >> np.uint64(33)).astype(np.int32)
 
 
 def _anchor_counts(docs: DataFrame) -> DataFrame:
@@ -105,34 +99,6 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(counted, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
 
 
-def _places(keys: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.stack([(_mixed(keys + np.uint64(k) * _K) & np.uint64(bits - 1)).astype(np.int64) for k in (1, 2, 3)])
-
-
-def _filter(repeated: DataFrame) -> np.ndarray:
-    """Packed bits, eight for each repeated anchor within the bounds."""
-    n, bits = repeated.count(), LEAST_BITS
-    while bits < 8 * n and bits < MOST_BITS:
-        bits *= 2
-
-    def mark(batches):
-        own = np.zeros(bits, bool)
-        for batch in batches:
-            own[_places(batch.column(0).to_numpy().view(np.uint64), bits).ravel()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["bits"])
-
-    out = np.zeros(bits // 8, np.uint8)
-    for row in repeated.coalesce(4).mapInArrow(mark, "bits binary").collect():
-        out |= np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-def _known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _places(keys, 8 * len(bits))
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).all(axis=0)
-
-
 #: Index rows have no source. A match has the smallest known place of its block: source document and start there (at).
 _ROWS = "key long, check int, doc long, start int, source long, at int"
 _NAMES = ["key", "check", "doc", "start", "source", "at"]
@@ -142,7 +108,7 @@ _MATCH = "doc long, start int, source long, at int"
 def _row_batch(new: np.ndarray, old: np.ndarray, key, check, doc, start, head) -> pa.RecordBatch:
     """Index rows, then matches that are settled, dealt by a hash of the document."""
     n, m = int(new.sum()), int(old.sum())
-    spread = _mixed(doc[old].view(np.uint64)).view(np.int64)
+    spread = mixed(doc[old].view(np.uint64)).view(np.int64)
     nothing = np.r_[np.ones(n, bool), np.zeros(m, bool)]
     return pa.RecordBatch.from_arrays(
         [
@@ -167,9 +133,9 @@ def _in_order(key, check, doc, start) -> np.ndarray:
     return np.lexsort((start, doc, check, key))
 
 
-def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def _candidates(docs: DataFrame, repeated: KeyFilter) -> DataFrame:
     """Blocks with a repeated anchor; of equal ones in a batch only the first goes on, the others have found a source."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def made(batches):
         for batch in text_batches(batches, TOGETHER):
@@ -181,7 +147,7 @@ def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 own = word_hashes(words)
                 key, at = anchors(own)
                 places, back = np.unique(at, return_inverse=True)
-                hit = np.flatnonzero(_known(shared.value, key[places])[back])
+                hit = np.flatnonzero(shared.value.known(key[places])[back])
                 if len(hit):
                     a, b = blocks(own)
                     parts.append((a[hit], b[hit], np.full(len(hit), doc, np.int64), hit.astype(np.int32)))
@@ -256,7 +222,7 @@ def parsed(docs: DataFrame, fold, schema: str, carry: list[str] | None = None) -
     doc_id is neither reference nor changed. Texts of fewer than 20 words have no block.
     """
     rows, carried = docs.select("doc_id", "text"), [f"c{k}" for k in range(len(carry or []))]
-    matches = _matches(_candidates(rows, _filter(written(_anchor_counts(rows)))))
+    matches = _matches(_candidates(rows, key_filter(written(_anchor_counts(rows)), per_key=8)))
 
     def packed_texts(batches):
         zip_ = zstandard.ZstdCompressor(level=2)
@@ -265,7 +231,7 @@ def parsed(docs: DataFrame, fold, schema: str, carry: list[str] | None = None) -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1] * len(packed), pa.int32()), pa.array(packed, pa.binary()), *batch.columns[2:]], ["doc", "role", "packed", *carried])
 
     types = {c: dict(docs.dtypes)[name] for c, name in zip(carried, carry or [], strict=True)}
-    with_text = docs.select("doc_id", "text", *(F.col(name).alias(c) for c, name in zip(carried, carry or [], strict=True)))
+    with_text = docs.select("doc_id", "text", *(F.col(quoted(name)).alias(c) for c, name in zip(carried, carry or [], strict=True)))
     texts = with_text.mapInArrow(packed_texts, ", ".join(["doc long, role int, packed binary", *(f"{c} {t}" for c, t in types.items())]))
     met = matches.withColumn("role", F.lit(0)).unionByName(texts, allowMissingColumns=True).select("doc", "role", "start", "source", "at", "packed", *carried)
     names = [x.split()[0] for x in schema.split(", ")]
@@ -333,12 +299,18 @@ def without(text: str | None, found: list[tuple[int, int, int, int]]) -> str | N
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with the text that is left."""
+    """docs with the text that is left.
+
+    Null text stays null, and texts of fewer than 20 words stay as they are. Rows that share a doc_id are one document, whose matches
+    count for each of them by their places; rows without doc_id stay unchanged; other columns follow, whatever their names.
+    """
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return parsed(docs, lambda doc, text, found: (doc, without(text, found)), "doc_id long, text string", carry).select(*docs.columns)
+    return parsed(docs, lambda doc, text, found: (doc, without(text, found)), "doc_id long, text string", carry).select(*map(quoted, docs.columns))
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row. Null text: no words; an empty table gives no rows; rows that share a doc_id are one document."""
+
     def fold(doc, text, found):
         words = words_of(text)
         gone = covered(len(words), found)
