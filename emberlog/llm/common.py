@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,24 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+#: Words whose hashes a worker remembers.
+WORDS = 200_000
+
+
+class _Words(dict):
+    """64-bit hashes of words; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        own = self[word] = xxhash.xxh3_64_intdigest(word)
+        return own
+
+
+#: The hash of a word, in a table that all operators of a worker share.
+word_hash = _Words().__getitem__
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -39,14 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emberlog.llm.bpe import text_batches
-from emberlog.llm.common import key_filter, mixed, partitions, written
+from emberlog.llm.common import key_filter, mixed, partitions, word_hash, written
 from emberlog.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 #: Band width, and the cost model: keys count 1, and a segment of k elements meets by chance like CHANCE * COMMON ** k.
 WIDTH, CHANCE, COMMON = 1.25, 0.5, 0.3
-#: Partitions of the universe to try for sets with empty segments; words and sets that a worker remembers.
-SEEDS, WORDS, SETS = 8, 250_000, 200_000
+#: Partitions of the universe to try for sets with empty segments; sets that a worker remembers.
+SEEDS, SETS = 8, 200_000
 #: Members of a star verified by one task; counts by which elements are ordered, and parts in which they are added.
 STAR, CELLS, PARTS = 250, 1 << 20, 64
 #: Documents under a key beyond which it costs too much to keep where it can be done without.
@@ -57,25 +57,12 @@ BITMAP = 8
 _K1 = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """64-bit hashes of words; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        own = self[word] = xxhash.xxh3_64_intdigest(word)
-        return own
-
-
-_words = _Words()
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted set of hashed shingles: a-z for A-Z, words without ASCII white space; fewer words than a shingle are one."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    own = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    own = np.fromiter(map(word_hash, words), np.uint64, len(words))
     width = min(size, len(words))
     n = len(own) - width + 1
     key = np.full(n, np.uint64(width))
@@ -327,6 +314,10 @@ def _unpacked(batch, column: int):
     return [shingles(unzip.decompress(x).decode("utf-8", "surrogatepass")) for x in batch.column(column).to_pylist()]
 
 
+def _cells(elements: np.ndarray) -> np.ndarray:
+    return (elements >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
 def _frequencies(texts: DataFrame) -> np.ndarray:
     """About how often the elements of the sets in `texts` occur, by their top bits: CELLS counts, whatever the corpus holds."""
     part = CELLS // PARTS
@@ -334,8 +325,9 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
     def count(batches):
         own = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for x in _unpacked(batch, 0):
-                own += np.bincount((x >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS)
+            for start in range(0, batch.num_rows, 256):
+                cells, n = np.unique(np.concatenate([_cells(x) for x in _unpacked(batch.slice(start, 256), 0)]), return_counts=True)
+                own[cells] += n
         zip_ = zstandard.ZstdCompressor(level=1)
         for k in range(PARTS) if own.any() else ():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zip_.compress(own[k * part : (k + 1) * part].tobytes())], pa.binary())], ["part", "counts"])
@@ -361,7 +353,7 @@ def first_elements(elements: np.ndarray, frequency: np.ndarray, percent: int = P
     x and y share, at place i of x. Then they share no more than |x| - i elements, and must share
     percent / (100 + percent) of |x| + |y|.
     """
-    order = np.lexsort((elements, frequency[(elements >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)]))
+    order = np.lexsort((elements, frequency[_cells(elements)]))
     n = len(elements)
     most = (100 + percent) * (n - np.arange(n)) // percent - n
     enough = 100 * most >= percent * n

@@ -133,11 +133,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def _quantile(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """(keys, bin): the first bin up to which so great a share of n lies."""
-    each = Window.partitionBy(*keys)
-    upto = F.sum("n").over(each.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    found = counts.withColumns({"upto": upto, "total": F.sum("n").over(each)}).where(F.col("upto") >= share * F.col("total"))
-    return found.groupBy(*keys).agg(F.min("bin").alias("bin"))
+    """(keys, bin): the quantile of bins that occur n times."""
+    return counts.groupBy(*keys).agg(F.percentile("bin", share, F.col("n")).alias("bin"))
 
 
 def _medians(rows: DataFrame, values: dict[str, Column], share: float = 0.5) -> DataFrame:

@@ -22,37 +22,25 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.bpe import text_batches
-from emberlog.llm.common import KeyFilter, key_filter, mixed, partitions, quoted, words_of, written
+from emberlog.llm.common import KeyFilter, key_filter, mixed, partitions, quoted, word_hash, words_of, written
 
 BLOCK, ANCHOR = 20, 8
-#: Words remembered by a worker; bytes of text settled together.
-WORDS, TOGETHER = 250_000, 2 << 20
+#: Bytes of text settled together.
+TOGETHER = 2 << 20
 
 _K, _A = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Words(dict):
-    """64-bit hashes of words; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        own = self[word] = xxhash.xxh3_64_intdigest(word)
-        return own
-
-
-_words = _Words()
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(word_hash, words), np.uint64, len(words))
 
 
 def _power(k: int) -> np.uint64:
