@@ -57,6 +57,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
+    except OSError as e:
+        print(e, file=sys.stderr)
+        return 1
     if args.command == "parse":
         rows = events.orderBy("pos")
         rows = rows.limit(args.limit) if args.limit > 0 else rows

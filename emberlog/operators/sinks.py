@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,5 +99,14 @@ def write_ndjson(events: DataFrame, path: str) -> None:
 
 
 def write_csv(events: DataFrame, path: str) -> None:
-    """CSV parts, each with the header."""
-    csv(events).withColumnRenamed("value", csv_header()).write.option("header", True).option("quote", "\u0000").option("escapeQuotes", False).option("sep", "\u0001").csv(path)
+    """CSV parts, each with the header as its first row. Cells are written as they are: the text sink quotes and trims nothing."""
+
+    def headed(batches):
+        first = True
+        for batch in batches:
+            if batch.num_rows and first:
+                first = False
+                yield pa.RecordBatch.from_arrays([pa.array([csv_header()], batch.schema.field(0).type)], schema=batch.schema)
+            yield batch
+
+    csv(events).mapInArrow(headed, "value string").write.text(path)

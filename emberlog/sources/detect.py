@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ NAMES = {
     "clf": "web", "httpd": "web", "evtx": "evtx", "winevtx": "evtx", "win": "evtx", "winlog": "evtx", "cef": "cef",
 }
 HEAD = 1 << 16
+#: Files whose beginnings are read at once, and judged together.
+READERS, TOGETHER = 16, 256
 
 
 def parse_name(name: str) -> str | None:
@@ -34,33 +38,42 @@ def detect_format(content: Column) -> Column:
 
 
 def files(spark: SparkSession, paths: str | list[str]) -> list[str]:
-    """The files behind paths, folders and patterns."""
+    """The files behind paths, folders and patterns; what names nothing is an error, and so is a hidden file that is named, as Spark's readers pass over it.
+
+    Hidden files (a name that begins with a dot or an underscore) within folders and patterns are left out.
+    """
     jvm, found = spark._jvm, []
     for path in [paths] if isinstance(paths, str) else paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         store = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        for status in store.globStatus(p) or []:
+        matches = list(store.globStatus(p) or [])
+        if not matches:
+            raise FileNotFoundError(f"cannot read: {path}")
+        named = len(matches) == 1 and matches[0].isFile()
+        if named and matches[0].getPath().getName()[0] in "._":
+            raise PermissionError(f"cannot read a hidden file: {path}")
+        for status in matches:
             inside = store.listStatus(status.getPath()) if status.isDirectory() else [status]
             found += [s.getPath().toString() for s in inside if s.isFile() and s.getPath().getName()[0] not in "._"]
     return sorted(found)
 
 
-def heads(spark: SparkSession, paths: list[str], n: int = HEAD) -> list[tuple[str, bytes]]:
-    """(path, first bytes) of each file, through Hadoop's file systems."""
-    out = []
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
-        try:
-            out.append((path, bytes(stream.readNBytes(n))))
-        finally:
-            stream.close()
-    return out
+def head(spark: SparkSession, path: str, n: int = HEAD) -> bytes:
+    """The first bytes of a file, through Hadoop's file systems."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
 
 
 def detect(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Path to format."""
-    if not paths:
-        return {}
-    table = spark.createDataFrame(heads(spark, paths), "path string, content binary")
-    return {r.path: r.format for r in table.select("path", detect_format(F.col("content")).alias("format")).collect()}
+    """Path to format. Beginnings are read side by side and judged in groups, so the driver holds those of TOGETHER files at most."""
+    found: dict[str, str] = {}
+    with ThreadPoolExecutor(READERS) as pool:
+        for k in range(0, len(paths), TOGETHER):
+            some = paths[k : k + TOGETHER]
+            table = spark.createDataFrame(list(zip(some, pool.map(lambda p: head(spark, p), some), strict=True)), "path string, content binary")
+            found |= {r.path: r.format for r in table.select("path", detect_format(F.col("content")).alias("format")).collect()}
+    return found

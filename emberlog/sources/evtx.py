@@ -336,7 +336,8 @@ def to_events(files: DataFrame) -> DataFrame:
         "ts_us": F.coalesce(times.iso8601(trim(F.col("time_text"))), F.col("ts_us")),
         "severity": F.when(F.col("level").isNotNull(), severity),
         "source": F.lit("win-event"),
-        "record_index": F.when(F.col("number") != 0, F.col("number").cast("bigint")).otherwise(F.col("place")),
+        # Numbers of 2^63 and more, which only damaged records have, keep their 64 bits.
+        "record_index": F.when(F.col("number") >= F.lit(str(1 << 63)).cast("decimal(20,0)"), F.col("number") - F.lit(str(1 << 64)).cast("decimal(20,0)")).when(F.col("number") != 0, F.col("number")).otherwise(F.col("place")).cast("bigint"),
         "event_id": event_id,
         "host": F.col("computer"),
         "channel": F.col("channel"),

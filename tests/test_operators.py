@@ -130,6 +130,15 @@ def test_numbered(spark):
     assert numbered(rows.where("v < 0"), [F.col("v")]).count() == 0
 
 
+def test_written_csv(spark, tmp_path):
+    """Records stand in the files as their text: blanks at ends, quotes and control characters stay."""
+    rows = schema.event(spark.createDataFrame([("tail space  ",), ('a "b"\nc',), ("x\x01y",)], "m string"), {"message": F.col("m")})
+    sinks.write_csv(rows.coalesce(1), str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
+    start = ",unknown,unknown,0" + "," * 16
+    assert text == "\n".join([sinks.csv_header(), start + "tail space  ", start + '"a ""b""\nc"', start + "x\x01y"]) + "\n"
+
+
 def test_sinks(spark):
     rows = made(spark, [{"ts_us": 1, "message": 'a"b\\c\n\x01é', "pid": 0, "bytes": 2**62, "fields": {"k": 'v"'}}, {"record_index": 5, "host": "x,y"}])
     texts = [r.value for r in sinks.ndjson(rows.orderBy("pos")).collect()]

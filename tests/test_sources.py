@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog import cli
 from emberlog.plans import evtx_fixture
 from emberlog.sources import cef, evtx, jsonl, syslog, weblog
 from emberlog.sources.detect import detect_format, parse_name
@@ -166,6 +167,22 @@ def test_nothing_breaks_parsers(spark):
         evtx.records(bytes(chunk))
 
 
+def test_event_log_numbers(spark):
+    """A record number beyond 63 bits breaks nothing and keeps its bits."""
+    raw = evtx_fixture.file([(2**64 - 2, 0, {"EventID": "1"}), (2**63 - 1, 0, {"EventID": "2"})])
+    assert [r.record_index for r in evtx.to_events(spark.createDataFrame([("f", raw)], "file string, content binary")).orderBy("line_no").collect()] == [-2, 2**63 - 1]
+
+
+def test_artifacts_that_are_not_there(spark, tmp_path, capsys):
+    (tmp_path / ".hidden.log").write_text("x\n")
+    (tmp_path / "a.log").write_text("plain\n")
+    for path, kind in ((tmp_path / "nope.log", FileNotFoundError), (tmp_path / ".hidden.log", PermissionError)):
+        with pytest.raises(kind):
+            ingest(spark, str(path))
+        assert cli.main(["stats", str(path)], spark) == 1 and "cannot read" in capsys.readouterr().err
+    assert ingest(spark, str(tmp_path))[0].count() == 1
+
+
 def test_formats(spark):
     heads = {b"": "syslog", b"ElfFile\0": "evtx", b"<1>h CEF:0|": "cef", b" \n[1]": "json", b"<34>x": "syslog", b'h [t] "r"': "web", b"plain": "syslog", b'{"x":"CEF:"}': "cef", b"<1234>[a\"": "web"}
     rows = spark.createDataFrame([(bytearray(k),) for k in heads], "c binary").select("c", detect_format(F.col("c")).alias("f")).collect()
