@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog import schema
 from emberlog.functions import text as T
 from emberlog.functions import times
 from emberlog.operators import detect, query, sessions, sinks, stats, tables, timeline
@@ -441,6 +442,24 @@ _text_query("split", "pages", "page_id", lambda: F.array_join(T.split(F.col("url
 _text_query("utf16", "nation", "n_nationkey", lambda: T.utf16le(F.encode("n_name", "UTF-16LE")), "n_name")
 
 
+_text_query("iequals", "nation", "n_nationkey", lambda: T.iequals(F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise("x")), "n_nationkey % 2 = 0")
+_text_query("affixes", "pages", "page_id", lambda: F.concat_ws(" ", *(f.cast("int").cast("string") for f in (T.starts_with(F.col("url"), "https"), T.ends_with(F.col("url"), "1"), T.contains(F.col("url"), "www")))), "concat_ws(' ', starts_with(url, 'https')::int, suffix(url, '1')::int, contains(url, 'www')::int)")
+_text_query("replace", "customer", "c_custkey", lambda: T.replace_all(F.col("c_name"), "#", "--"), "replace(c_name, '#', '--')")
+_text_query("join", "pages", "page_id", lambda: T.join(F.split("url", "/"), "-+-"), "replace(url, '/', '-+-')")
+_text_query("lines", "documents", "doc_id", lambda: F.size(T.split_lines(F.col("text"))).cast("bigint"), "CAST(len(string_split(text, chr(10))) - CASE WHEN text = '' OR right(text, 1) = chr(10) THEN 1 ELSE 0 END AS BIGINT)")
+_text_query("json_escape", "documents", "doc_id", lambda: F.md5(F.concat(F.lit('"'), sinks.json_escape(F.col("text")), F.lit('"'))), "md5(CAST(to_json(text) AS VARCHAR))")
+_text_query("csv_quote", "documents", "doc_id", lambda: F.md5(sinks.csv_quote(F.col("text"))), "md5(CASE WHEN regexp_matches(text, '[,\"\\r\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END)")
+_text_query("facility", "nation", "n_nationkey", lambda: schema.facility_name(F.col("n_nationkey")), f"coalesce({list(schema.FACILITIES)}[n_nationkey + 1], 'unknown')")
+
+
+def _kinds(c):
+    return F.concat_ws(" ", *(f(c).cast("int").cast("string") for f in (T.is_space, T.is_digit, T.is_hex, T.is_alpha, T.is_alnum)))
+
+
+_CHAR = "substr(url, CAST(page_id % 20 + 1 AS INT), 1)"
+_text_query("kinds", "pages", "page_id", lambda: _kinds(F.substring(F.col("url"), (F.col("page_id") % 20 + 1).cast("int"), F.lit(1))), "concat_ws(' ', " + ", ".join(f"regexp_matches({_CHAR}, '^[{k}]$')::int" for k in (" \\t", "0-9", "0-9A-Fa-f", "A-Za-z", "A-Za-z0-9")) + ")")
+
+
 # --- formats and binary logs ---
 
 
@@ -451,10 +470,10 @@ def detect_format(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", formats.detect_format(F.encode(head, "UTF-8")).alias("format"))
 
 
-@registered("evtx_records", "SELECT n_nationkey AS record_index, 1000 + n_nationkey AS event_id, n_name AS host, 'Sec' AS channel, 3 AS severity, 'Sec EventID=' || (1000 + n_nationkey) || ' ' || n_name AS message FROM nation WHERE n_nationkey > 0")
+@registered("evtx_records", "SELECT 1 + n_nationkey AS record_index, 1001 + n_nationkey AS event_id, n_name AS host, 'Sec' AS channel, 3 AS severity, 'Sec EventID=' || (1001 + n_nationkey) || ' ' || n_name AS message FROM nation")
 def evtx_records(spark, sf_dir):
     """One file is made of the table's rows, and read again."""
-    rows = table(spark, sf_dir, "nation").where("n_nationkey > 0").select(F.col("n_nationkey").cast("bigint").alias("n"), "n_name")
+    rows = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("bigint").alias("n"), "n_name")
     files = rows.groupBy((F.col("n") % 3).alias("k")).agg(F.array_sort(F.collect_list(F.struct("n", "n_name"))).alias("rows"))
     made = files.select(F.concat(F.lit("f"), "k").alias("file"), evtx_fixture.file_column(F.col("rows")).alias("content"))
     return evtx.to_events(made).select("record_index", "event_id", "host", "channel", F.col("severity").cast("bigint").alias("severity"), "message")
