@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from emberlog.llm.common import text_or_empty
+from emberlog.llm.common import give_back, text_or_empty
 
 #: Code points of an unsplit run from which it is encoded as a tree, and bytes of a leaf.
 LONG_RUN, LEAF = 4096, 2048
@@ -261,7 +261,15 @@ def ids_to_bytes(ids) -> bytes:
 
 
 def text_batches(batches, chars: int = 1 << 20):
-    """Arrow batches cut so that the texts of each hold about so many bytes, and at least a row."""
+    """Arrow batches cut so that the texts of each hold about so many bytes, and at least a row.
+
+    At the end of a task the worker gives freed memory back, as workers live on from stage to stage.
+    """
+    yield from _cut(batches, chars)
+    give_back()
+
+
+def _cut(batches, chars: int):
     for batch in batches:
         at = batch.schema.get_field_index("text")
         size, start, held = batch.column(at).nbytes, 0, 0
