@@ -60,7 +60,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 #: Words whose hashes a worker remembers.
-WORDS = 200_000
+WORDS = 50_000
 
 
 class _Words(dict):
