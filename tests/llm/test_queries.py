@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from emberlog.llm import languages, neardup, packing, pii, quality, shards, substring, tokenfile
+from emberlog.llm import common, languages, neardup, packing, pii, quality, shards, substring, tokenfile
 from emberlog.llm import queries as llm
 
 from ..conftest import SF
@@ -154,6 +154,20 @@ def test_op10(spark, case):
     assert len(bins) <= -(-sum(r.length for r in found) // 2048) + 2
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 211])
+def test_range_buckets(spark, n):
+    r = random.Random(n)
+    keys = [r.randrange(-400, 400) for _ in range(900)] + [5] * 300 + [None] * 3
+    docs = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    bucket, most = common.range_buckets(docs, "doc_id", n)
+    found = docs.select("doc_id", bucket.alias("b")).collect()
+    shares = [k / n for k in range(1, n)]
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 10000)).first()[0])) if shares else []
+    assert most == len(cuts) + 1
+    for row in found:
+        assert row.b == (0 if row.doc_id is None else sum(row.doc_id > c for c in cuts))
+
+
 def test_hot_groups(spark):
     """Many copies, near copies of one original, and a passage that many share: components stay exact."""
     r = random.Random(12)
