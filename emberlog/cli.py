@@ -71,7 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         positive = lambda v, d: v if v > 0 else d
         print(report.time_line(events, positive(args.bucket, 3600), args.gap), end="")
         if args.sessions:
-            found = sessions.sessions(events, args.sessions, positive(args.idle, 1800))
+            found = sessions.sessions(events, args.sessions, positive(args.idle, 1800), positions=False)
             print("\n" + report.session_list(found, positive(args.limit, 50)), end="")
     elif args.command == "detect":
         cfg = DetectionConfig(bruteforce_min_failures=args.bf_failures, bruteforce_window_seconds=args.bf_window, http_error_min=args.http_errors, scan_distinct_min=args.scan_distinct)

@@ -35,12 +35,13 @@ def densest_distinct(rows: DataFrame, key: str, target: str, window_us: int) ->
     """Of each key the window with most distinct targets: count, first_us, last_us, last_pos.
 
     A target counts from an event until the window has left it or its next event takes over: +1 and
-    -1 on a time line, summed. The window ends at the last new target of its last moment.
+    -1 on a time line, summed. The window ends at the last new target of its last moment. Neighbours are
+    sought within a slice: an event's guests reach as far back as a window, and farther ones change nothing.
     """
-    again = W.partitionBy(key, target).orderBy("ts_us", "pos")
-    seen = rows.select(key, target, "ts_us", "pos", F.lag("ts_us").over(again).alias("before"), F.lead("ts_us").over(again).alias("next"))
-    fresh = F.col("before").isNull() | (F.col("before") < F.col("ts_us") - window_us)
-    seen = sliced(seen.withColumn("fresh", fresh), window_us)
+    again = W.partitionBy(key, target, "slice").orderBy("ts_us", "pos")
+    seen = sliced(rows.select(key, target, "ts_us", "pos"), window_us)
+    seen = seen.withColumn("before", F.lag("ts_us").over(again)).withColumn("next", F.lead("ts_us").over(again))
+    seen = seen.withColumn("fresh", F.col("before").isNull() | (F.col("before") < F.col("ts_us") - window_us))
     leave = F.least(F.col("ts_us") + window_us + 1, F.col("next"))
     steps = seen.withColumn("step", F.explode(F.array(F.struct(F.col("ts_us").alias("t"), F.lit(1).alias("d")), F.struct(leave.alias("t"), F.lit(-1).alias("d")))))
     moments = steps.groupBy(key, "slice", "step.t").agg(F.sum("step.d").alias("d"), F.max(F.when((F.col("step.d") == 1) & F.col("own"), F.lit(True))).alias("at_event"))

@@ -117,6 +117,29 @@ def test_sessions_and_timeline(spark):
     assert timeline.gaps(made(spark, rows), 0).count() == 0 and timeline.buckets(made(spark, [{"host": "x"}]), 60).count() == 0
 
 
+@pytest.mark.parametrize("idle", [0, 1, 40, 5000])
+def test_sessions_against_model(spark, monkeypatch, idle):
+    monkeypatch.setattr(sessions, "BLOCK", 3)  # so that sessions run over many blocks
+    r = random.Random(idle)
+    rows = [{"ts_us": r.randrange(-2000, 8000) * S // r.choice((1, 3)), "src_ip": "hot" if r.random() < 0.7 else r.choice("abc")} for _ in range(500)]
+    rows += rows[:50] + [{"ts_us": 5 * S}, {"src_ip": "a"}, {"ts_us": 5 * S, "src_ip": ""}]
+    want = []
+    for key in ("hot", *"abc"):
+        mine = sorted((e["ts_us"], k) for k, e in enumerate(rows) if e.get("src_ip") == key and "ts_us" in e)
+        for t, k in mine:
+            if not want or want[-1][0] != key or t - want[-1][2] > idle * S:
+                want.append([key, t, t, []])
+            want[-1][2] = t
+            want[-1][3].append(k)
+    want = sorted(([key, a, b, len(ks), ks] for key, a, b, ks in want), key=lambda x: (x[1], x[0]))
+    table = made(spark, rows)
+    found = sessions.sessions(table, "ip", idle).collect()
+    assert [[x.key, x.start_us, x.end_us, x.events, x.positions] for x in found] == want
+    plain = sessions.sessions(table, "ip", idle, positions=False)
+    assert "positions" not in plain.columns and [[x.key, x.start_us, x.end_us, x.events] for x in plain.collect()] == [w[:4] for w in want]
+    assert sessions.sessions(table.where("pos < 0"), "ip", idle).count() == 0
+
+
 def test_gaps_against_model(spark):
     r = random.Random(8)
     times = sorted(r.randrange(10**6) * S // 7 for _ in range(600))
