@@ -20,9 +20,12 @@ shared by very many sets is no meeting place unless the sets hold little else.
 Candidates are verified exactly, but not all pairs of a bucket: pairs that share fewer keys than
 similar sets must, whose places and sizes exclude a link, or whose bitmaps differ in more bits, are
 out; of the others, each document is held first against the one it shares most with (in long
-buckets: the bucket's head), then against the others it is not yet connected to; and last, members of
-long buckets outside the bucket's largest component against members of other components. A
-pair never verified is connected already, so components are those of the complete link graph.
+buckets: the bucket's head), then against the others it is not yet connected to. Members of a long
+bucket that are not connected after that meet by how they differ from its head: two sets are as far
+apart as these differences, so similar sets of which one does not link with the head share a part of
+them, rarest elements first, where near copies of one text have little in common. Long buckets of
+differences have heads in turn. A pair never verified cannot link or is connected already, so
+components are those of the complete link graph.
 """
 
 from __future__ import annotations
@@ -49,6 +52,8 @@ WIDTH, CHANCE, COMMON = 1.25, 0.5, 0.3
 SEEDS, SETS = 8, 200_000
 #: Members of a star verified by one task; counts by which elements are ordered, and parts in which they are added.
 STAR, CELLS, PARTS = 250, 1 << 20, 64
+#: Rounds of heads in long buckets.
+ROUNDS = 8
 #: Documents under a key beyond which it costs too much to keep where it can be done without.
 HOT = 10
 #: 64-bit words of the parity bitmap of a set.
@@ -318,15 +323,19 @@ def _cells(elements: np.ndarray) -> np.ndarray:
     return (elements >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def _frequencies(texts: DataFrame) -> np.ndarray:
-    """About how often the elements of the sets in `texts` occur, by their top bits: CELLS counts, whatever the corpus holds."""
+def _listed(batch, column: int):
+    return [np.frombuffer(x, np.uint64) for x in batch.column(column).to_pylist()]
+
+
+def _frequencies(sets: DataFrame, unpacked=_unpacked) -> np.ndarray:
+    """About how often the elements of the sets in the first column occur, by their top bits: CELLS counts, whatever the corpus holds."""
     part = CELLS // PARTS
 
     def count(batches):
         own = np.zeros(CELLS, np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                cells, n = np.unique(np.concatenate([_cells(x) for x in _unpacked(batch.slice(start, 256), 0)]), return_counts=True)
+                cells, n = np.unique(np.concatenate([_cells(x) for x in unpacked(batch.slice(start, 256), 0)]), return_counts=True)
                 own[cells] += n
         zip_ = zstandard.ZstdCompressor(level=1)
         for k in range(PARTS) if own.any() else ():
@@ -341,7 +350,7 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["part", "counts"])
 
     out, kind = np.zeros(CELLS, np.int64), "part int, counts binary"
-    for row in texts.select("packed").mapInArrow(count, kind).repartition(min(PARTS, partitions(texts.sparkSession)), "part").mapInArrow(add, kind).collect():
+    for row in sets.mapInArrow(count, kind).repartition(min(PARTS, partitions(sets.sparkSession)), "part").mapInArrow(add, kind).collect():
         out[row.part * part : (row.part + 1) * part] = np.frombuffer(row.counts, np.int64)
     return out
 
@@ -362,7 +371,7 @@ def first_elements(elements: np.ndarray, frequency: np.ndarray, percent: int = P
 
 def _entries(texts: DataFrame) -> DataFrame:
     """(element, doc, size, most) for the first elements of every set in `texts`."""
-    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts))
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts.select("packed")))
 
     def made(batches):
         for batch in batches:
@@ -380,22 +389,26 @@ def _entries(texts: DataFrame) -> DataFrame:
 _FIT = "(x.size < y.size or (x.size = y.size and x.doc < y.doc)) and y.size <= x.most and x.size <= y.most and 100 * x.size >= {percent} * y.size"
 
 
+def _headed(long: DataFrame) -> DataFrame:
+    """(bucket, a, b) of each (bucket, element, doc): b is the head of the element, a member that has most elements in the bucket: an original, rather than a copy."""
+    held = long.groupBy("bucket", "doc").agg(F.count("*").alias("held"))
+    head = F.max(F.struct("held", (-F.col("doc")).alias("doc")))
+    heads = long.select("bucket", "element", "doc").join(held, ["bucket", "doc"]).groupBy("bucket", "element").agg((-head.getField("doc")).alias("b"))
+    return long.select("bucket", "element", F.col("doc").alias("a")).join(heads, ["bucket", "element"]).where("a <> b").select("bucket", "a", "b")
+
+
 def _crowded_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of crowded documents: pairs (a, b, n) met under rare elements and stars of common ones; entries under common ones, with `many` of them."""
+    """Of crowded documents: pairs (a, b, n) met under rare elements and stars of common ones; and those stars (a, b), a row for each element."""
     entries = written(_entries(texts))
     many = written(entries.groupBy("element").agg(F.count("*").alias("many")).where("many > 1"))
     rare = entries.join(many.where(F.col("many") <= HOT).select("element"), "element", "left_semi")
     fit = _FIT.format(percent=PERCENT)
     buckets = rare.groupBy("element").agg(F.collect_list(F.struct("doc", "size", "most")).alias("docs"))
     pairs = buckets.select("docs", F.explode("docs").alias("x")).select("x", F.explode("docs").alias("y")).where(fit)
-    common = written(entries.join(many.where(F.col("many") > HOT), "element"))
-    # The head of a long bucket: who has most elements in long ones is an original, rather than a copy.
-    held = common.groupBy("doc").agg(F.count("*").alias("held"))
-    head = F.max(F.struct("held", (-F.col("doc")).alias("doc")))
-    heads = common.select("element", "doc").join(held, "doc").groupBy("element").agg((-head.getField("doc")).alias("b"))
-    stars = common.select("element", F.col("doc").alias("a")).join(heads, "element").where("a <> b").select("a", "b")
+    common = written(entries.join(many.where(F.col("many") > HOT).select("element"), "element"))
+    stars = written(_headed(common.withColumn("bucket", F.lit(0))).select("a", "b"))
     near = pairs.select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b"))
-    return near.unionByName(stars).groupBy("a", "b").agg(F.count("*").alias("n")), common
+    return near.unionByName(stars).groupBy("a", "b").agg(F.count("*").alias("n")), stars
 
 
 _WORDS = [f"w{k}" for k in range(BITMAP)]
@@ -415,14 +428,21 @@ def _possible(percent: int = PERCENT) -> Column:
     return (100 * small >= percent * large) & ((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
 
 
+def _stars(pairs: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, part, a, role, packed, others) of the pairs (*by with b, a, others): the sets of b (role 0), then those of a; where many meet a b, it is copied to several tasks."""
+    more = [c for c in pairs.columns if c not in (*by, "a")]
+    size = pairs.groupBy(*by).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / STAR).cast("int"))
+    texts = texts.select(F.col("doc"), F.col("packed"))
+    members = pairs.join(size.select(*by, "parts"), by).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    members = members.join(texts, F.col("a") == F.col("doc")).select(*by, "part", "a", F.lit(1).alias("role"), "packed", *more)
+    heads = size.join(texts, F.col("b") == F.col("doc")).select(*by, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("a"), F.lit(0).alias("role"), "packed")
+    met = members.unionByName(heads, allowMissingColumns=True)
+    return met.repartition(partitions(pairs.sparkSession), *by, "part").sortWithinPartitions(*by, "part", "role")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: those whose bitmaps allow it go to where b is; a b with many partners is copied to several tasks."""
+    """The pairs (a, b) that link: those whose bitmaps allow it go to where b is."""
     pairs = written(pairs.join(_sketch(texts, "a"), "a").join(_sketch(texts, "b"), "b").where(_possible()).select("a", "b"))
-    size = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / STAR).cast("int"))
-    texts = texts.select(F.col("doc"), F.col("packed"))
-    members = pairs.join(size.select("b", "parts"), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    members = members.join(texts, F.col("a") == F.col("doc")).select("b", "part", "a", F.lit(1).alias("role"), "packed")
-    heads = size.join(texts, F.col("b") == F.col("doc")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("a"), F.lit(0).alias("role"), "packed")
 
     def compare(batches):
         unzip, head, sets = zstandard.ZstdDecompressor(), None, []
@@ -439,9 +459,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    n = partitions(pairs.sparkSession)
-    met = members.unionByName(heads).repartition(n, "b", "part").sortWithinPartitions("b", "part", "role")
-    return written(met.mapInArrow(compare, "a long, b long").distinct())
+    return written(_stars(pairs, texts, ["b"]).mapInArrow(compare, "a long, b long").distinct())
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -451,30 +469,122 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return out.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
 
 
-def size_band(size: Column) -> Column:
-    """Sizes in steps of about a twentieth."""
-    return F.floor(F.log(1.05, size.cast("double"))).cast("int")
+def difference(x: np.ndarray, head: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """How x differs from head, and its need: x and y link if 2 * (100 + percent) times what their differences share is the sum of their needs or more."""
+    own = np.setxor1d(x, head, assume_unique=True)
+    return own, (100 + percent) * len(own) - (100 - percent) * len(x)
+
+
+def least_need(x: int, need: int, head: int, apart: bool, percent: int = PERCENT) -> int:
+    """The least need of a set that one of x elements may link with; one that links with the head looks only for those that don't."""
+    largest = (100 - percent) * (100 * x // percent)
+    return max(need - 2 * largest, -largest if apart else (100 - percent) * head + 1)
+
+
+def first_differences(own: np.ndarray, need: int, least: int, frequency: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The difference's elements, rare ones first, as far as one with a need of `least` may be met there at first; and the need up to which it may be."""
+    order = np.lexsort((own, frequency[_cells(own)]))
+    most = 2 * (100 + percent) * (len(own) - np.arange(len(own))) - need
+    enough = most >= least
+    return own[order[enough]], most[enough]
+
+
+def _differences(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(own, bucket, doc, of, apart, need, least) of the members a of buckets (bucket, b, a, of, apart): how they differ from b, hashed with the bucket."""
+
+    def made(batches):
+        unzip, star, sets = zstandard.ZstdDecompressor(), None, []
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                found = []
+                for bucket, _, part, a, role, packed, of, apart in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True):
+                    x = shingles(unzip.decompress(packed).decode("utf-8", "surrogatepass"))
+                    if role == 0:
+                        sets = [*sets, x] if star == (bucket, part) else [x]
+                        star = (bucket, part)
+                    elif star == (bucket, part) and len(x):
+                        head = min(sets, key=lambda s: s.tobytes())  # of rows that share a doc_id any, but the same one in all tasks
+                        own, need = difference(x, head)
+                        own = mixed(own ^ mixed(np.array([bucket], np.int64).view(np.uint64)))
+                        found.append((own.tobytes(), bucket, a, of, apart, need, least_need(len(x), need, len(head), apart)))
+                if found:
+                    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds, strict=True)], ["own", "bucket", "doc", "of", "apart", "need", "least"])
+
+    stars = _stars(buckets.select("bucket", "b", "a", "of", "apart"), texts, ["bucket", "b"])
+    return written(stars.mapInArrow(made, "own binary, bucket long, doc long, of long, apart boolean, need long, least long"))
+
+
+def _differing(differences: DataFrame) -> DataFrame:
+    """(element, bucket, doc, of, apart, need, most, low, lows) for the first elements of the differences.
+
+    Of two sets that link, the one that needs less (low) has the element among its first |set| / 9. Rows that
+    meet no low one there which isn't connected to all of them are left out; lows: how many low ones there are.
+    """
+    shared = differences.sparkSession.sparkContext.broadcast(_frequencies(differences.select("own"), _listed))
+
+    def made(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                some = batch.slice(start, 256)
+                found = [first_differences(own, need, least, shared.value) for own, need, least in zip(_listed(some, 0), some.column(5).to_pylist(), some.column(6).to_pylist(), strict=True)]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(e) for e, _ in found]))
+                cols = [np.concatenate([e for e, _ in found]).view(np.int64), np.concatenate([m for _, m in found]).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *(some.column(k).take(at) for k in range(1, 6)), pa.array(cols[1])], ["element", "bucket", "doc", "of", "apart", "need", "most"])
+
+    entries = written(differences.mapInArrow(made, "element long, bucket long, doc long, of long, apart boolean, need long, most long"))
+    entries = entries.withColumn("low", F.col("most") >= F.col("need"))
+    low = lambda f, c: f(F.when(F.col("low"), F.col(c)))
+    met = entries.groupBy("element").agg(F.max("apart").alias("loose"), F.min("of").alias("one"), F.max("of").alias("other"), low(F.min, "need").alias("least"), low(F.max, "most").alias("reach"))
+    met = met.where("loose and one < other and least is not null").select("element", "least", "reach")
+    entries = written(entries.join(met, "element").where("least <= most and need <= reach").drop("least", "reach"))
+    lows = entries.groupBy("element").agg(F.count_if("low").alias("lows"), F.count("*").alias("many")).where("lows > 0 and many > 1")
+    return written(entries.join(lows.drop("many"), "element"))
+
 
+def _meet(x: Column, y: Column) -> Column:
+    """Whether x and y, which is low, may link and are not connected, as far as needs and places tell."""
+    return (x["apart"] | y["apart"]) & (x["of"] != y["of"]) & (y["need"] <= x["need"]) & (x["need"] <= y["most"]) & (y["need"] <= x["most"])
 
-def _across(common: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): members of long buckets in different components whose places and sizes allow a link.
 
-    Of each bucket the largest component is held against the others only, and members meet by the
-    sizes that may be similar; a long bucket is spread over tasks.
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def _buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, b, a, of, apart) of members (bucket, b, a): the component of a, and whether it is another than that of b, where that holds for any in the bucket."""
+    label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    out = members.join(label("a"), "a", "left").join(label("b"), "b", "left").withColumn("of", F.coalesce("of_a", "a"))
+    out = written(out.select("bucket", "b", "a", "of", (F.col("of") != F.coalesce("of_b", "b")).alias("apart")))
+    return out.join(out.where("apart").select("bucket").distinct(), "bucket", "left_semi")
+
+
+def _round(buckets: DataFrame, texts: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """One round of long buckets whose members have been held against their head: pairs (a, b) to verify, and the buckets of the next round.
+
+    A pair that links and is not connected has a member apart from the head. It shares elements of
+    its differences, unless their needs sum up to nothing: then it also links with the member of the
+    head's component that needs least. Elements that many low ones share make the next buckets, under heads of
+    their own; a head is in none of them, so rounds end. Where these buckets hold more than `rows`
+    rows, differences are common too, and all members that may link are paired instead.
     """
-    members = common.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("of", F.coalesce("component", "doc")).drop("component")
-    members = written(members)
-    sizes = members.groupBy("element", "of").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("element").agg(F.max(F.struct("k", "of")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("element", F.col("top.of").alias("main"))
-    members = members.join(largest, "element").withColumn("rest", F.col("of") != F.col("main")).drop("main")
-    members = written(members.withColumn("salts", F.ceil(F.col("many") / STAR).cast("int")))
-    left = members.select("element", size_band(F.col("size")).alias("size_band"), F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), F.struct("doc", "size", "most", "of").alias("x"), "rest")
-    low, high = size_band(F.ceil(F.col("size") * PERCENT / 100)), size_band(F.least("size", "most"))
-    right = members.where(high >= low).withColumn("size_band", F.explode(F.sequence(low, high))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    right = right.select("element", "size_band", "salt", F.struct("doc", "size", "most", "of").alias("y"), "rest")
-    on, fit = ["element", "size_band", "salt"], _FIT.format(percent=PERCENT)
-    met = left.where("rest").drop("rest").join(right.drop("rest"), on).unionByName(left.where("not rest").drop("rest").join(right.where("rest").drop("rest"), on))
-    return met.where(f"{fit} and x.of <> y.of").select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b")).distinct()
+    differences = _differences(buckets, texts)
+    least = differences.where("not apart").groupBy("bucket").agg(F.min(F.struct("need", "doc")).alias("y"))
+    pairs = differences.where("apart").join(least, "bucket").where("need + y.need <= 0").select(*_pair("doc", "y.doc"))
+    entries = _differing(differences)
+    member = F.struct("doc", "of", "apart", "need", "most")
+    lows = entries.where(F.col("low") & (F.col("lows") <= HOT)).groupBy("element").agg(F.collect_list(member).alias("docs"))
+    met = entries.select("element", member.alias("x")).join(lows, "element").select("x", F.explode(F.filter("docs", lambda y: _meet(F.col("x"), y))).alias("y"))
+    pairs = pairs.unionByName(met.select(*_pair("x.doc", "y.doc")))
+    long = entries.where(F.col("lows") > HOT)
+    headed = written(_headed(long).select(F.xxhash64("bucket", "b").alias("bucket"), "b", "a").distinct())
+    if headed.count() <= rows:
+        return pairs.unionByName(headed.select(*_pair("a", "b"))).distinct(), headed
+    salts = F.ceil(F.col("lows") / STAR).cast("int")
+    left = long.where("low").select("element", F.pmod(F.xxhash64("doc"), salts).cast("int").alias("salt"), member.alias("y"))
+    right = long.select("element", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), member.alias("x"))
+    all_ = left.join(right, ["element", "salt"]).where(_meet(F.col("x"), F.col("y"))).select(*_pair("x.doc", "y.doc"))
+    return pairs.unionByName(all_).distinct(), None
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -488,7 +598,7 @@ def classes(docs: DataFrame) -> DataFrame:
     cold, own, crowded = _allocated(runs)
     met = written(_sharing(_cold_pairs(cold), own))
     texts = _candidate_texts(docs, met.select(F.col("a").alias("doc")).union(met.select("b")).union(crowded), crowded)
-    more, common = _crowded_pairs(texts.where("crowded"))
+    more, stars = _crowded_pairs(texts.where("crowded"))
     met = written(met.unionByName(more).groupBy("a", "b").agg(F.max("n").alias("n")))
 
     def joined(*links: DataFrame) -> DataFrame:
@@ -500,14 +610,25 @@ def classes(docs: DataFrame) -> DataFrame:
 
     most = met.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("nth = 1").select("a", "b")
     links, found = [], joined()
-    for pairs in (
-        lambda: most,
-        lambda: _apart(met.select("a", "b"), found),
-        lambda: _across(common, found).join(met.select("a", "b"), ["a", "b"], "left_anti"),
-    ):
-        new = written(pairs())
+
+    def verify(new: DataFrame) -> None:
+        nonlocal found
+        new = written(new)
         if not new.isEmpty():
             links.append(_verified(new, texts))
             found = joined(*links)
+
+    verify(most)
+    verify(_apart(met.select("a", "b"), found))
+    rows, done = stars.count(), met.select(*_pair("a", "b"))
+    members = stars.select(F.col("b").alias("bucket"), "b", "a").distinct()
+    for k in range(ROUNDS):
+        buckets = written(_buckets(members, found))
+        if buckets.isEmpty():
+            break
+        pairs, members = _round(buckets, texts, rows if k + 1 < ROUNDS else 0)
+        verify(_apart(pairs, found).join(done, ["a", "b"], "left_anti"))
+        if members is None:
+            break
     out = leads.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.unionByName(_nameless(docs))

@@ -189,6 +189,56 @@ def test_hot_groups(spark):
     assert {k: brute.sha(" ".join(t.split())) for k, t in left.items()} == {k: v[2] for k, v in brute.substrings(rows).items()}
 
 
+def most_generated(spark, since):
+    """Rows of the Generate node with most of them, in executions from `since` on; and the next execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, found = store.executionsList(), [0]
+    ids = [runs.apply(k).executionId() for k in range(runs.size())]
+    for run in (k for k in ids if k >= since):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            metrics = node.metrics()
+            for m in map(metrics.apply, range(metrics.size() if node.name().startswith("Generate") else 0)):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    found.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return max(found), max(ids, default=-1) + 1
+
+
+def test_rows_in_a_large_group(spark, monkeypatch):
+    """Twice as many near copies of a text, some too far from the others to link: exact, and not four times the rows."""
+    monkeypatch.setattr(neardup, "STAR", 25)
+    r = random.Random(21)
+    base, most = [f"w{r.randrange(9000)}" for _ in range(150)], []
+    _, since = most_generated(spark, 0)
+    for n in (250, 500):
+        rows = []
+        for k in range(n):
+            words = list(base)
+            for at in r.sample(range(150), r.choice([1, 2, 3, 5, 6, 7])):
+                words[at] = f"v{r.randrange(9000)}"
+            rows.append((k, " ".join(words)))
+        table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.classes(table).collect()} == brute.near(rows)
+        rows, since = most_generated(spark, since)
+        most.append(rows)
+    assert 0 < most[1] <= 2.5 * most[0]
+
+
+@pytest.mark.parametrize("rounds", [1, 8])
+def test_differences_in_common(spark, monkeypatch, rounds):
+    """Texts of passages that many share, so that what differs is common too: exact by heads of heads, and by pairs where rounds end."""
+    monkeypatch.setattr(neardup, "HOT", 2)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    r, asked, own = random.Random(22), [], neardup._round
+    monkeypatch.setattr(neardup, "_round", lambda *x: asked.append(own(*x)) or asked[-1])
+    pool = [" ".join(f"p{k}x{j}" for j in range(8)) for k in range(30)]
+    rows = [(k, " ".join(p for p in pool if r.random() < 0.86)) for k in range(150)] + [(200 + k, " ".join(pool[: 30 - k] + pool[:k])) for k in range(12)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    expected = brute.near(rows)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.classes(table).collect()} == expected
+    assert 10 < len({c for _, c in expected.values()}) and asked and (rounds > 1 or asked[0][1] is None)
+
+
 def test_repeated_and_nameless_rows(spark):
     rows = [(1, "same words here " * 3), (1, "same words here " * 3), (None, "no name"), (None, None)]
     table = spark.createDataFrame([(*x, None, None, 0) for x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")

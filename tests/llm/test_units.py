@@ -218,6 +218,31 @@ def test_first_elements():
             assert any(len(b) <= x[e] and len(a) <= y[e] for e in set(x) & set(y))
 
 
+def test_first_differences():
+    """Linked sets, one of which does not link with the head, meet by how they differ from it, the one that needs less early."""
+    r, met = np.random.default_rng(4), 0
+    fresh = lambda n: neardup.mixed(r.integers(0, 2**63, int(n)).astype(np.uint64))
+    for _ in range(1500):
+        n = int(r.integers(5, 150))
+        pool = fresh(n)
+        changed = lambda s, share: np.unique(np.r_[r.permutation(s)[int(len(s) * r.uniform(0, share)) :], r.choice(pool, 2), fresh(r.integers(0, 1 + len(s) * share))])
+        head = changed(pool, 0.15)
+        a = changed(pool, 0.15)
+        b = changed(a, 0.12)
+        far = [not neardup.linked(s, head) for s in (a, b)]
+        if not neardup.linked(a, b) or not any(far):
+            continue
+        met += 1
+        frequency = r.integers(0, 5, neardup.CELLS)
+        (da, na), (db, nb) = (neardup.difference(s, head) for s in (a, b))
+        x, y = (dict(zip(*map(np.ndarray.tolist, neardup.first_differences(d, need, neardup.least_need(len(s), need, len(head), f), frequency)))) for s, d, need, f in ((a, da, na, far[0]), (b, db, nb, far[1])))
+        if na + nb <= 0:
+            assert not all(far)
+        else:
+            assert any(x[e] >= nb and y[e] >= na and (x[e] >= na if na <= nb else y[e] >= nb) for e in set(x) & set(y))
+    assert met > 200
+
+
 def test_bands():
     for n in range(1, 3000):
         own, *more = neardup.bands(n)
