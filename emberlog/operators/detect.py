@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.text import truncate
 from emberlog.operators import events as E
-from emberlog.operators.windows import SECOND, densest, densest_distinct, first_positions
+from emberlog.operators.windows import SECOND, densest, densest_distinct, first_positions, within
 
 #: Names of findings (log-gap is a name that no detector gives) and their severities.
 KINDS = {
@@ -60,7 +60,7 @@ def _who() -> Column:
 def _burst(rows: DataFrame, least: int, window_seconds: int, cap: int) -> DataFrame:
     """entity, count, first_us, last_us, evidence of the densest window of each entity that has enough."""
     best = densest(rows, "entity", window_seconds * SECOND).where((F.col("count") >= least) & F.lit(least > 0))
-    inside = rows.join(best.select(F.col("entity").alias("_e"), "first_us", "last_us"), (F.col("entity") == F.col("_e")) & F.col("ts_us").between(F.col("first_us"), F.col("last_us")))
+    inside = within(rows, best, "entity", window_seconds * SECOND)
     return best.join(first_positions(inside, cap, "entity"), "entity")
 
 

@@ -11,6 +11,8 @@ from emberlog.functions.times import floor_div
 SECOND = 1_000_000
 #: Windows that fit into a slice of time; a slice also holds the window before it, so this bounds the copies.
 SLICES = 16
+#: Parts of a window whose events are summed together.
+BLOCKS = 16
 
 
 def sliced(rows: DataFrame, window_us: int, ts: str = "ts_us") -> DataFrame:
@@ -23,12 +25,43 @@ def sliced(rows: DataFrame, window_us: int, ts: str = "ts_us") -> DataFrame:
 
 
 def densest(rows: DataFrame, key: str, window_us: int) -> DataFrame:
-    """Of each key the fullest window: count, first_us, last_us; of equal ones the earliest."""
-    spread = sliced(rows.select(key, "ts_us"), window_us)
-    over = W.partitionBy(key, "slice").orderBy("ts_us").rangeBetween(-window_us, 0)
-    counted = spread.select(key, "own", "ts_us", F.count("*").over(over).alias("n"), F.min("ts_us").over(over).alias("first")).where("own")
-    best = F.max(F.struct(F.col("n").alias("n"), (-F.col("ts_us")).alias("last"), (-F.col("first")).alias("first"))).alias("b")
-    return counted.groupBy(key).agg(best).select(key, F.col("b.n").alias("count"), (-F.col("b.first")).alias("first_us"), (-F.col("b.last")).alias("last_us"))
+    """Of each key the fullest window: count, first_us, last_us; of equal ones the earliest.
+
+    Events of a moment are counted first; a moment adds its count when it comes and takes it back when the
+    window has left it. These steps are summed within blocks, and what a block needs of those beside it (the
+    sum before it, the next moment to leave after it) comes from one row a block: the work grows with the
+    events, not with events times those in a window, and no task holds more than blocks of a key.
+    """
+    seen = sliced(rows.groupBy(key, "ts_us").agg(F.count("*").alias("n")), window_us)
+    come = F.struct(F.col("ts_us").alias("t"), F.col("n").alias("d"), F.col("own").alias("ends"))
+    leave = F.struct((F.col("ts_us") + F.lit(window_us + 1).cast("bigint")).alias("t"), (-F.col("n")).alias("d"), F.lit(False).alias("ends"))
+    steps = seen.select(key, "slice", F.explode(F.array(come, leave)).alias("step")).select(key, "slice", "step.*")
+    steps = steps.withColumn("block", floor_div(F.col("t"), _block(window_us)))
+    inside = W.partitionBy(key, "slice", "block")
+    # At one moment those that leave go first, so each end of a window has them behind it in either direction.
+    before, after = inside.orderBy("t", "d").rowsBetween(W.unboundedPreceding, 0), inside.orderBy(F.desc("t"), F.desc("d")).rowsBetween(W.unboundedPreceding, 0)
+    summed = steps.withColumn("n", F.sum("d").over(before)).withColumn("leaves", F.min(F.when(F.col("d") < 0, F.col("t"))).over(after))
+    best = F.max(F.when(F.col("ends"), F.struct("n", (-F.col("t")).alias("last"), "leaves"))).alias("b")
+    blocks = summed.groupBy(key, "slice", "block").agg(F.sum("d").alias("d"), F.min(F.when(F.col("d") < 0, F.col("t"))).alias("leaves"), best)
+    along = W.partitionBy(key, "slice").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    back = W.partitionBy(key, "slice").orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("sum", F.coalesce(F.sum("d").over(along), F.lit(0))).withColumn("later", F.min("leaves").over(back)).where("b is not null")
+    # The first moment of a window is the next to leave.
+    ends = blocks.select(key, F.struct((F.col("sum") + F.col("b.n")).alias("n"), F.col("b.last").alias("last"), F.coalesce("b.leaves", "later").alias("leaves")).alias("b"))
+    found = ends.groupBy(key).agg(F.max("b").alias("b"))
+    return found.select(key, F.col("b.n").alias("count"), (F.col("b.leaves") - F.lit(window_us + 1).cast("bigint")).alias("first_us"), (-F.col("b.last")).alias("last_us"))
+
+
+def _block(window_us: int) -> int:
+    return max(1, window_us // BLOCKS)
+
+
+def within(rows: DataFrame, found: DataFrame, key: str, window_us: int) -> DataFrame:
+    """The rows (key, ts_us and more) inside the windows (key, first_us, last_us) of found; they meet by blocks of time, so a busy key spreads over tasks."""
+    block = lambda c: floor_div(F.col(c), _block(window_us))
+    spans = found.select(F.col(key).alias("_k"), "first_us", "last_us", F.explode(F.sequence(block("first_us"), block("last_us"))).alias("_b"))
+    met = (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_b")) & F.col("ts_us").between(F.col("first_us"), F.col("last_us"))
+    return rows.withColumn("_at", block("ts_us")).join(spans, met).select(*rows.columns)
 
 
 def densest_distinct(rows: DataFrame, key: str, target: str, window_us: int) -> DataFrame:
@@ -54,12 +87,17 @@ def densest_distinct(rows: DataFrame, key: str, target: str, window_us: int) ->
     return last.join(reach, inside).groupBy(key, "count", "last_us", "last_pos").agg(F.min("ts_us").alias("first_us"))
 
 
-def first_positions(rows: DataFrame, cap: int, *keys: str) -> DataFrame:
-    """(keys, evidence): positions of the first `cap` events of each key by time; cut in slices before they meet."""
+def first_events(rows: DataFrame, cap: int, *keys: str) -> DataFrame:
+    """(keys, first): (ts_us, pos) of the first `cap` events of each key by time; cut in slices before they meet."""
     part = W.partitionBy(*keys, F.pmod(F.col("pos"), F.lit(64))).orderBy("ts_us", "pos")
     few = rows.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= cap)
     nearest = few.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("ts_us", "pos"))).where(F.col("_n") <= cap)
-    return nearest.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts_us", "pos"))), lambda x: x["pos"]).alias("evidence"))
+    return nearest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts_us", "pos"))).alias("first"))
+
+
+def first_positions(rows: DataFrame, cap: int, *keys: str) -> DataFrame:
+    """(keys, evidence): positions of the first `cap` events of each key by time."""
+    return first_events(rows, cap, *keys).select(*keys, F.transform("first", lambda x: x["pos"]).alias("evidence"))
 
 
 def seconds(us: Column) -> Column:

@@ -10,7 +10,7 @@ from emberlog import cli, schema
 from emberlog.operators import detect, query, report, sessions, sinks, stats, timeline
 from emberlog.operators.detect import DetectionConfig
 from emberlog.operators.tables import numbered, sort_by_time
-from emberlog.operators.windows import densest, densest_distinct
+from emberlog.operators.windows import densest, densest_distinct, within
 
 S = 1_000_000
 
@@ -76,6 +76,34 @@ def test_densest_against_model(spark):
     assert got == {e: window_model(sorted(t for k, t, _ in rows if k == e), 7 * S) for e in got} and len(got) == 6
 
 
+def test_densest_on_long_windows_and_ties(spark):
+    """Windows over many blocks, moments that repeat, times before 1970 and a window of no length."""
+    r = random.Random(11)
+    rows = [("hot" if r.random() < 0.6 else f"k{r.randrange(4)}", r.randrange(-4000, 9000) * S // r.choice((1, 3)), k) for k in range(1500)]
+    rows += [("hot", 17 * S, 2000 + k) for k in range(5)] + [("one", -5, 3000)]
+    table = spark.createDataFrame(rows, "entity string, ts_us bigint, pos bigint").cache()
+    for win in (0, 5, S, 97 * S, 5000 * S):
+        got = {x.entity: (x["count"], x.first_us, x.last_us) for x in densest(table, "entity", win).collect()}
+        assert got == {e: window_model(sorted(t for k, t, _ in rows if k == e), win) for e in {k for k, _, _ in rows}}, win
+
+
+def test_densest_has_no_sliding_frame(spark):
+    """Spark sums a frame that slides anew for every row, which is events times those in a window."""
+    table = spark.range(10).selectExpr("'e' entity", "id ts_us", "id pos")
+    plan = densest(table, "entity", 100 * S)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RowFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
+
+
+def test_within(spark):
+    r = random.Random(12)
+    rows = [(f"k{r.randrange(4)}", r.randrange(-500, 500), k) for k in range(300)]
+    spans = [("k0", -100, -60), ("k1", -7, 33), ("k2", 499, 499)]
+    found = spark.createDataFrame(spans, "entity string, first_us bigint, last_us bigint")
+    table = spark.createDataFrame(rows, "entity string, ts_us bigint, pos bigint")
+    for win in (40, 1000):
+        assert sorted(map(tuple, within(table, found, "entity", win).collect())) == sorted(x for x in rows for e, a, b in spans if x[0] == e and a <= x[1] <= b)
+
+
 def test_densest_distinct_against_model(spark):
     r = random.Random(4)
     rows = [(f"k{r.randrange(5)}", f"t{r.randrange(9)}", r.randrange(150) * S, k) for k in range(400)]
