@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.text import truncate
 from emberlog.operators import events as E
-from emberlog.operators.windows import SECOND, densest, densest_distinct, first_positions, within
+from emberlog.operators.windows import SECOND, densest, densest_distinct, first_events, first_positions, within
 
 #: Names of findings (log-gap is a name that no detector gives) and their severities.
 KINDS = {
@@ -24,6 +24,8 @@ DETAILS = {
     "rare-signature": "an event type that occurs only a handful of times across the whole stream, which is worth a human glance",
 }
 GLOBAL = "(global)"
+#: Parts of an actor's successes.
+PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -78,17 +80,18 @@ def auth_bruteforce(events: DataFrame, cfg: DetectionConfig = DetectionConfig())
 def spray_then_hit(events: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
     """For brute-forced actors: the first success at or after the N-th failure of all."""
     n = cfg.bruteforce_min_failures
-    burst = densest(_timed(events, E.is_failed_auth()), "entity", cfg.bruteforce_window_seconds * SECOND).where((F.col("count") >= n) & F.lit(n > 0))
-    failed = _timed(events, E.is_failed_auth()).join(burst.select("entity"), "entity", "left_semi")
-    first = first_positions(failed, max(n, cfg.evidence_cap), "entity")
+    failed = _timed(events, E.is_failed_auth())
+    burst = densest(failed, "entity", cfg.bruteforce_window_seconds * SECOND).where((F.col("count") >= n) & F.lit(n > 0)).select("entity", "count")
     # The N-th failure by its position among the first ones, and the time of the very first.
-    times = failed.join(first, "entity").where(F.array_contains("evidence", F.col("pos"))).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("ts_us", "pos"))).alias("fails"))
-    marks = times.select("entity", "fails", F.get("fails", F.lit(0))["ts_us"].alias("first_us"), F.get("fails", F.lit(max(0, n - 1)))["ts_us"].alias("from_us"))
-    passed = _timed(events, E.is_successful_auth() & ~E.is_failed_auth())
-    hit = passed.join(marks.select("entity", "from_us"), "entity").where("ts_us >= from_us").groupBy("entity").agg(F.min(F.struct("ts_us", "pos")).alias("hit"))
+    first = first_events(failed, max(n, cfg.evidence_cap), "entity").withColumnRenamed("first", "fails")
+    at = lambda k: F.get("fails", F.lit(k))["ts_us"]
+    marks = burst.join(first, "entity").select("entity", "count", "fails", at(0).alias("first_us"), at(max(0, n - 1)).alias("from_us"))
+    # Only an actor's first success is sought, in parts, so that a busy actor's successes don't meet in one task.
+    passed = _timed(events, E.is_successful_auth() & ~E.is_failed_auth()).withColumn("part", F.pmod("pos", F.lit(PARTS)).cast("int"))
+    since = marks.select("entity", "from_us", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
+    hit = passed.join(since, ["entity", "part"]).where("ts_us >= from_us").groupBy("entity").agg(F.min(F.struct("ts_us", "pos")).alias("hit"))
     shown = F.transform(F.slice("fails", 1, max(0, cfg.evidence_cap - 1)), lambda x: x["pos"])
-    found = burst.select("entity", "count").join(marks, "entity").join(hit, "entity")
-    found = found.select("entity", "count", "first_us", F.col("hit.ts_us").alias("last_us"), F.concat(shown, F.array("hit.pos")).alias("evidence"))
+    found = marks.join(hit, "entity").select("entity", "count", "first_us", F.col("hit.ts_us").alias("last_us"), F.concat(shown, F.array("hit.pos")).alias("evidence"))
     title = F.concat(F.lit("successful authentication from "), _who(), F.lit(" after "), _count(), F.lit(" failures"))
     return _finding(found, "auth-spray-then-hit", title)
 

@@ -134,6 +134,24 @@ def test_detectors(spark):
     assert detect.run(sort_by_time(made(spark, rows)), off).count() == 0
 
 
+def test_spray_against_model(spark):
+    """The first success at or after the N-th failure; an actor's failures don't meet again to find it."""
+    r = random.Random(13)
+    rows = [{"ts_us": r.randrange(3000) * S, "host": r.choice(["hot"] * 6 + ["a", "b", "c"]), "message": r.choice(["Failed password", "Accepted password", "tick"])} for _ in range(600)]
+    cfg = DetectionConfig(bruteforce_min_failures=5, bruteforce_window_seconds=150, evidence_cap=8)
+    want = {}
+    for host in ("hot", "a", "b", "c"):
+        mine = lambda text: sorted((e["ts_us"], k) for k, e in enumerate(rows) if e["host"] == host and e["message"].startswith(text))  # noqa: E731, B023
+        fails, best = mine("Failed"), window_model([t for t, _ in mine("Failed")], 150 * S)
+        hits = [x for x in mine("Accepted") if x[0] >= fails[4][0]]
+        if best[0] >= 5 and hits:
+            want[host] = (best[0], fails[0][0], hits[0][0], [k for _, k in fails[:7]] + [hits[0][1]])
+    found = detect.spray_then_hit(made(spark, rows), cfg)
+    assert {x.entity: (x["count"], x.first_us, x.last_us, x.evidence) for x in found.collect()} == want and "hot" in want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 5 and "RangeFrame, -" not in plan  # what marks an actor is there twice, by one shuffle each
+
+
 def test_sessions_and_timeline(spark):
     rows = [{"ts_us": t * S, "src_ip": ip, "severity": 3 if t == 0 else 6} for t, ip in ((0, "a"), (100, "a"), (201, "a"), (50, "b"))] + [{"src_ip": "a"}]
     found = sessions.sessions(made(spark, rows), "ip", 100).collect()
