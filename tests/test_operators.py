@@ -152,6 +152,11 @@ def test_spray_against_model(spark):
     assert plan.count("LogicalRDD") <= 5 and "RangeFrame, -" not in plan  # what marks an actor is there twice, by one shuffle each
 
 
+def test_all_detectors_have_no_sliding_frame(spark):
+    plan = detect.run(made(spark, EVENTS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") > 8 and "RangeFrame, -" not in plan
+
+
 def test_sessions_and_timeline(spark):
     rows = [{"ts_us": t * S, "src_ip": ip, "severity": 3 if t == 0 else 6} for t, ip in ((0, "a"), (100, "a"), (201, "a"), (50, "b"))] + [{"src_ip": "a"}]
     found = sessions.sessions(made(spark, rows), "ip", 100).collect()
