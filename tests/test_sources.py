@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog import cli
+from emberlog.functions import times
 from emberlog.plans import evtx_fixture
 from emberlog.sources import cef, evtx, jsonl, syslog, weblog
 from emberlog.sources.detect import detect_format, parse_name
@@ -127,6 +128,27 @@ def test_json_values():
     assert isinstance(jsonl.parse("9223372036854775808"), float) and jsonl.parse("-9223372036854775808") == -(1 << 63)
 
 
+def test_json_numbers_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(jsonl, "CHUNK", 7)
+    texts = ["" if k % 5 == 0 else '{"msg":"%d"}' % k for k in range(60)]
+    rows = [(f, b, n + 1, t) for f, b, n, t in [("f", n // 30 * 30, n, t) for n, t in enumerate(texts)] + [("g", 0, n, t) for n, t in enumerate(texts[:20])]]
+    found = jsonl.to_events(spark.createDataFrame(rows, "file string, block bigint, line_no bigint, line string"))
+    want = [(f, k + 1, x) for f, n in (("f", 60), ("g", 20)) for k, x in enumerate(t for t in range(n) if t % 5)]
+    assert sorted((r.file, r.record_index, int(r.message)) for r in found.collect()) == want
+
+
+def test_plain_times(spark):
+    """Whole ISO times are read in the Python pass, and as by the columns."""
+    assert jsonl.time_of("2024-03-09T11:22:34.5Z") == (1709983354500000, None) and jsonl.time_of(" 2024-03-09") == (None, " 2024-03-09")
+    r = random.Random(10)
+    two = lambda most: f"{r.randrange(most):02d}"
+    tails = ["", "Z", ".1Z", ".123456", ".1234567+01:30", "-0230", "+9999", ".", "z", " Z", "+1", ".5-00:00", "Zx"]
+    texts = [f"{r.choice(['2024', '1969', '0001', '0000', '9999', '1900'])}-{two(14)}-{two(33)}{r.choice('Tt ')}{two(25)}:{two(61)}:{two(62)}{r.choice(tails)}" for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", times.any_time(F.col("s")).alias("us")).collect()
+    mine = [(x.s, jsonl.plain_time(x.s), x.us) for x in rows]
+    assert [m for m in mine if m[1] is not None and m[1] != m[2]] == [] and sum(m[1] is not None for m in mine) > 100
+
+
 def test_cef(spark):
     line = "<1>h CEF:0|Ven\\|dor|Pro\\\\d|1.0|100|name\\x|10|src=1.2.3.4 msg=a \\= b\\nc d dst=5.6.7.8 spt=80 spt=81 rt=1709983354000 junk suser=bob"
     a, b, c = parsed(spark, cef.to_events, line, "CEF:x|a", "CEF:0|a|b|c")
